@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from plumbline.llm.chunked_bpe import op9_chunked_bpe
 from plumbline.llm.packing import op5_packing
 
 QUERIES = {
     "op5_packing": op5_packing,
+    "op9_chunked_bpe": op9_chunked_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -45,9 +45,12 @@ def boundaries(scan: regex.Pattern, text: str, start: int, whole: bool) -> list[
 
 def common_boundary(scan: regex.Pattern, text: str, start: int, next_start: int, whole: bool) -> int | None:
     """The first boundary at or after ``next_start`` that scans from both
-    places share, or None if they share none before the text is cut."""
+    places share, or None if they share none before the text is cut.
+
+    One after white space is passed over: a match of white space looks at what
+    follows it, which a piece that ends there would hide."""
     late = set(boundaries(scan, text, next_start, whole))
-    return next((b for b in boundaries(scan, text, start, whole) if b in late), None)
+    return next((b for b in boundaries(scan, text, start, whole) if b in late and not text[b - 1].isspace()), None)
 
 
 def stitched_pieces(text: str, pattern: str, chunk: int, overlap: int) -> list[str]:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from plumbline.llm.chunked_bpe import op9_chunked_bpe
 from plumbline.llm.embedding_dedup import op8_embedding_dedup
+from plumbline.llm.language_id import op10_language_id
 from plumbline.llm.metric_search import op2_metric_search
 from plumbline.llm.packing import op5_packing
+from plumbline.llm.quality_nbsvm import op4_quality_nbsvm
 from plumbline.llm.resharding import op7_resharding
 
 QUERIES = {
     "op2_metric_search": op2_metric_search,
+    "op4_quality_nbsvm": op4_quality_nbsvm,
     "op5_packing": op5_packing,
     "op7_resharding": op7_resharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chunked_bpe": op9_chunked_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}

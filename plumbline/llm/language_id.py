@@ -167,6 +167,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 def identify(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """For each text its language, a score and spans (first byte, end, language)."""
+    if not model.languages:
+        return [(UNDETERMINED, 0.0, [])] * len(starts)
     w = words_of(raw, starts)
     scores = model.word_scores(raw, w)
     labels = viterbi(scores, w.first)
@@ -175,7 +177,7 @@ def identify(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray
     for i, (a, b) in enumerate(zip(w.first, w.first[1:])):
         letters, own = w.letters[a:b], labels[a:b]
         total = int(letters.sum())
-        if not total or not names:
+        if not total:
             out.append((UNDETERMINED, 0.0, []))
             continue
         held = np.bincount(own, letters, len(names))
@@ -243,7 +245,8 @@ def with_languages(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
     end, lang) in UTF-8 bytes. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +259,7 @@ def with_languages(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             spans = [[{"start": a, "end": b, "lang": x} for a, b, x in f[2]] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span)],
-                names=[*docs.columns, "lang_pred", "score", "spans"],
+                names=[*names, "lang_pred", "score", "spans"],
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -222,7 +222,8 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     a text without n-grams."""
     docs = docs.drop(score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    names = docs.columns
+    place = names.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -233,7 +234,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
                 for i, j in runs_of_bytes(starts, ends, RUN_BYTES)
                 for slots in indicators(raw[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i])
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*docs.columns, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(score, f"{schema}, `{score_col}` double")

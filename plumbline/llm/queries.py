@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.chunked_bpe import op9_chunked_bpe
 from plumbline.llm.embedding_dedup import op8_embedding_dedup
+from plumbline.llm.jaccard_join import op6_jaccard_join
 from plumbline.llm.language_id import op10_language_id
 from plumbline.llm.metric_search import op2_metric_search
 from plumbline.llm.packing import op5_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_metric_search": op2_metric_search,
     "op4_quality_nbsvm": op4_quality_nbsvm,
     "op5_packing": op5_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_resharding": op7_resharding,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chunked_bpe": op9_chunked_bpe,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.llm.chunked_bpe import op9_chunked_bpe
 from plumbline.llm.embedding_dedup import op8_embedding_dedup
+from plumbline.llm.html_extraction import op1_html_extraction
 from plumbline.llm.jaccard_join import op6_jaccard_join
 from plumbline.llm.language_id import op10_language_id
 from plumbline.llm.metric_search import op2_metric_search
@@ -12,6 +13,7 @@ from plumbline.llm.quality_nbsvm import op4_quality_nbsvm
 from plumbline.llm.resharding import op7_resharding
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_metric_search": op2_metric_search,
     "op4_quality_nbsvm": op4_quality_nbsvm,
     "op5_packing": op5_packing,

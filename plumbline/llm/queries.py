@@ -10,11 +10,14 @@ from plumbline.llm.language_id import op10_language_id
 from plumbline.llm.metric_search import op2_metric_search
 from plumbline.llm.packing import op5_packing
 from plumbline.llm.quality_nbsvm import op4_quality_nbsvm
+from plumbline.llm.quotation_linking import ORACLE_SQL as OP3_SQL
+from plumbline.llm.quotation_linking import op3_quotation_linking
 from plumbline.llm.resharding import op7_resharding
 
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_metric_search": op2_metric_search,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_quality_nbsvm": op4_quality_nbsvm,
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
@@ -24,4 +27,6 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quotation_linking": OP3_SQL,
+}

@@ -198,7 +198,7 @@ def findings(df: DataFrame) -> DataFrame:
         Finding(cluster, "GPS cluster", "review"),
     ]
     place = _yes(same_text.isNotNull() | copied | cluster)
-    data = F.filter(F.transform(F.split(F.coalesce(F.col("Data_QC_Flags"), F.lit("")), ","), F.trim), lambda x: (x != "") & ~x.isin(COVERED))
+    data = F.filter(F.transform(F.split(F.coalesce(F.col("Data_QC_Flags"), F.lit("")), ","), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(COVERED))
     # A shared field says no more than the place does, where there is one.
     data_found = F.transform(data, lambda x: F.struct(
         F.concat(F.lit("Data: "), x).alias("flag"),

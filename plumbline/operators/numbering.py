@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _fixed(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """The same rows in the same partitions whenever they are read: a reliable
     checkpoint where a folder for it is set, else the cached frame."""
     if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -20,7 +20,7 @@ def _fixed(df: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name`` = 0, 1, 2 ... along ``order``, which must not tie."""
-    ranged = _fixed(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    ranged = settled(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # a row a partition
@@ -32,7 +32,7 @@ def average_ranks(values: DataFrame, keys: list[str], value: str, name: str) ->
     """(keys, value, ``name``): the share of rows up to each value within its
     keys, ties at their average: (rows below + (equal rows + 1) / 2) / rows."""
     counted = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = _fixed(counted.repartitionByRange(*keys, value).withColumn("_pid", F.spark_partition_id()))
+    ranged = settled(counted.repartitionByRange(*keys, value).withColumn("_pid", F.spark_partition_id()))
     parts = ranged.groupBy(*keys, "_pid").agg(F.sum("_n").alias("_part"))
     total = Window.partitionBy(*keys)
     before = total.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

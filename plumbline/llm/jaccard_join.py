@@ -93,10 +93,11 @@ def total_of_arrays(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Rec
     return out
 
 
-def parity_sketch(h: np.ndarray) -> bytes:
+def parity_sketch(h: np.ndarray, percent: int = 80) -> bytes:
     """Bit i: whether an odd number of shingles fall on i. As many bits as the
-    set has shingles, rounded up to a power of two, 256 at least."""
-    bits = 1 << max(8, int(len(h) - 1).bit_length())
+    set has shingles, rounded up to a power of two, 256 at least; half of them
+    tell sets apart where the similarity asked for is high."""
+    bits = 1 << max(8, int(len(h) - 1).bit_length() - (percent >= 85))
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -146,7 +147,7 @@ def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     whole = K.mix(np.array([K.mix(h).sum(dtype=np.uint64) + np.uint64(n)]))
                     part = K.mix(np.array([K.mix(prefix).sum(dtype=np.uint64) * np.uint64(31) + np.uint64(n)]))
-                for r, x in zip(rows, (n, int(whole.view(np.int64)[0]), int(part.view(np.int64)[0]), prefix.tobytes(), parity_sketch(h))):
+                for r, x in zip(rows, (n, int(whole.view(np.int64)[0]), int(part.view(np.int64)[0]), prefix.tobytes(), parity_sketch(h, percent))):
                     r.append(x)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))],
@@ -200,7 +201,7 @@ def spanning(p: np.ndarray, q: np.ndarray, far: np.ndarray, n: int) -> np.ndarra
 
 
 def _open_pairs(postings: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
-    """(a, b) of classes that share a prefix shingle, lie in different
+    """(token, a, b) of classes that share a prefix shingle, lie in different
     components and may link: a spanning forest of each block, or all of them.
     ``postings``: token, class, n, sketch, component; tokens with one component
     are left out before."""
@@ -208,36 +209,59 @@ def _open_pairs(postings: DataFrame, percent: int, all_pairs: bool) -> DataFrame
     dealt = postings.join(sizes, "token").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "sketch", "component")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": []}).astype("int64")
-        rows = rows.sort_values("class", ignore_index=True)
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        if rows["component"].nunique() < 2:
-            return none
-        ids, parts, n = rows["class"].to_numpy(), rows["component"].to_numpy(), rows["n"].to_numpy()
-        size = min(map(len, rows["sketch"]))
-        bits = np.stack([folded(s, size) for s in rows["sketch"]]).view(np.uint64)
-        left, right = np.flatnonzero(rows["own"] == i), np.flatnonzero(rows["own"] == j)
+    keys = ["token", "i", "j"]
+    ordered = dealt.repartition(*keys).sortWithinPartitions(*keys, "class")
+
+    def compare(own: np.ndarray, diagonal: bool, ids: np.ndarray, n: np.ndarray, parts: np.ndarray, sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        size = min(map(len, sketches))
+        bits = np.frombuffer(b"".join(s if len(s) == size else folded(s, size).tobytes() for s in sketches), np.uint64).reshape(len(ids), -1)
+        left = np.flatnonzero(own)
+        right = left if diagonal else np.flatnonzero(~own)
         far = np.zeros((len(left), len(right)), np.int32)
         for w in range(bits.shape[1]):
-            far += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None]).astype(np.int32)
+            far += np.bitwise_count(bits[left, w][:, None] ^ bits[right, w][None])
         x, y = n[left][:, None], n[right][None]
         ok = (parts[left][:, None] != parts[right][None]) & (np.minimum(x, y) * 100 >= np.maximum(x, y) * percent) & (far * (100 + percent) <= (x + y) * (100 - percent))
-        if i == j:
-            ok = np.triu(ok, 1)
-        p, q = np.nonzero(ok)
-        if not len(p):
-            return none
+        p, q = np.nonzero(np.triu(ok, 1) if diagonal else ok)
         d = far[p, q]
         p, q = left[p], right[q]
-        if not all_pairs:
+        if not all_pairs and len(p):
             _, node = np.unique(parts, return_inverse=True)
             keep = spanning(node[p], node[q], d, int(node.max()) + 1)
             p, q = p[keep], q[keep]
-        return pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])})
+        return np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])
 
-    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    none = np.zeros(0, np.int64)
+
+    def compare_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            at = rows[keys].to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1, [len(at)]])
+            own, ids, n, parts = (rows["own"] == rows["i"]).to_numpy(), rows["class"].to_numpy(), rows["n"].to_numpy(), rows["component"].to_numpy()
+            sketches = rows["sketch"].tolist()
+            diagonal = (rows["i"] == rows["j"]).to_numpy()
+            found = [(rows["token"].iat[x], *compare(own[x:y], bool(diagonal[x]), ids[x:y], n[x:y], parts[x:y], sketches[x:y])) for x, y in zip(cut, cut[1:]) if y - x > 1]
+            token = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+            return pd.DataFrame({"token": token, "a": np.concatenate([none, *(f[1] for f in found)]), "b": np.concatenate([none, *(f[2] for f in found)])})
+
+        for batch in batches:
+            # A group that the batch may not have ended waits for the next one.
+            last = (batch[keys] == batch[keys].iloc[-1]).all(axis=1).to_numpy()
+            if not last.all():
+                kept.append(batch[~last])
+                yield done(pd.concat(kept, ignore_index=True))
+                kept = []
+                batch = batch[last]
+            elif kept and tuple(kept[-1][keys].iloc[-1]) != tuple(batch[keys].iloc[0]):
+                yield done(pd.concat(kept, ignore_index=True))
+                kept = []
+            kept.append(batch)
+        if kept:
+            yield done(pd.concat(kept, ignore_index=True))
+
+    return ordered.mapInPandas(compare_all, "token long, a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -315,15 +339,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                tokens = [np.frombuffer(b, np.int64) for b in part.column(3).to_pylist()]
+                tokens = [np.frombuffer(b, np.int64) for b in part.column(1).to_pylist()]
                 times = [len(t) for t in tokens]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *(pa.array(np.repeat(part.column(c).to_numpy(), times)) for c in range(3))], names=["token", "group", "head", "n"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(part.column(0).to_numpy(), times))], names=["token", "group"])
 
-    postings = groups.select("group", "head", "n", "prefix").mapInArrow(explode, "token long, `group` long, head long, n long")
+    postings = groups.select("group", "prefix").mapInArrow(explode, "token long, `group` long")
     # Only shingles that two groups have are kept, with their smallest group.
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min(F.struct("group", "head", "n")).alias("least")).filter("groups > 1").drop("groups")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("groups"), F.min("group").alias("least")).filter("groups > 1").drop("groups")
     postings = written(postings.join(shared, "token"), "postings")
 
     sketch = classes.select("class", "n", "sketch")
@@ -333,30 +355,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     # First round: group pairs around each posting's least group, filtered by
     # size; then the members of the other group, and of each group with its head.
-    stars = postings.filter(F.col("group") != F.col("least.group")).filter(_similar_sizes("n", "least.n", percent)).select(F.col("least.head").alias("a"), "group").distinct()
+    size = groups.select("group", "head", "n")
+    stars = postings.filter("`group` <> least").select("least", "group").distinct()
+    stars = stars.join(size.select(F.col("group").alias("least"), F.col("head").alias("a"), F.col("n").alias("na")), "least").join(size.select("group", "n"), "group")
+    stars = stars.filter(_similar_sizes("na", "n", percent)).select("a", "group").distinct()
     member = classes.select("group", F.col("class").alias("b"))
     inside = groups.select(F.col("head").alias("a"), "group")
     expanded = stars.unionByName(inside).join(member, "group").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     allowed = _sketches_allow(expanded.join(side("a"), "a").join(side("b"), "b"), percent)
-    # Of each class's pairs the two most promising ones are enough to start with.
-    near = allowed.groupBy("b").agg(F.min(F.struct("far", "a")).alias("one"), F.min(F.struct("far", F.negate("a").alias("a"))).alias("two"))
-    first = written(
-        near.select(F.col("one.a").alias("a"), "b").unionByName(near.select((-F.col("two.a")).alias("a"), "b")).distinct(), "pairs"
-    )
+    # Of each class's pairs the most promising one is enough to start with.
+    near = allowed.groupBy("b").agg(F.min(F.struct("far", "a")).alias("one"))
+    first = written(near.select(F.col("one.a").alias("a"), "b"), "pairs")
     links = written(_verified(first, rows, classes, words, percent), "text-links")
 
+    open_before: DataFrame | None = None
     for all_pairs in (False, True):
         known = written(components(links).select(F.col("id").alias("class"), F.col("component_id").alias("component")), "class-components")
         placed = classes.select("class", "group", "n", "sketch").join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
         # Shingles whose groups all lie in one component have nothing left to say.
         spread = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         at = postings.select("token", "group").join(spread, "group")
-        open_tokens = at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-        live = postings.select("token", "group").join(open_tokens, "token").join(placed, "group").select("token", "class", "n", "sketch", "component")
-        alone = spread.filter("low <> high").select("group").join(placed, "group").select(F.col("group").alias("token"), "class", "n", "sketch", "component")
-        pairs = written(_open_pairs(live.unionByName(alone), percent, all_pairs), "pairs")
+        per = at.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("groups"), F.expr("bit_xor(xxhash64(`group`))").alias("who")).filter("low <> high")
+        alone = spread.filter("low <> high").select("group")
+        if open_before is None:
+            # Near copies share many shingles: of those that the same groups have, one is enough.
+            open_tokens = per.groupBy("groups", "who").agg(F.min("token").alias("token")).select("token")
+        else:
+            # Pairs only get fewer, so what had none in the round before has none now.
+            open_tokens = per.select("token").join(open_before, "token", "left_semi")
+            alone = alone.join(open_before, alone["group"] == open_before["token"], "left_semi")
+        live = postings.select("token", "group").join(open_tokens, "token").unionByName(alone.select(F.col("group").alias("token"), "group"))
+        found = written(_open_pairs(live.join(placed, "group").select("token", "class", "n", "sketch", "component"), percent, all_pairs), "open-pairs")
+        pairs = written(found.select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             break
+        open_before = found.select("token").distinct()
         links = written(links.unionByName(_verified(pairs, rows, classes, words, percent)), "text-links")
 
     found = components(links).select(F.col("id").alias("class"), F.col("component_id").alias("component"))

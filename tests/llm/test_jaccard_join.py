@@ -80,7 +80,7 @@ def test_sketches_bound_the_difference():
     for _ in range(100):
         pool = r.integers(0, 2**63, 900, dtype=np.uint64)
         a, b = np.unique(r.choice(pool, r.integers(1, 900))), np.unique(r.choice(pool, r.integers(1, 900)))
-        assert J.sketch_distance(J.parity_sketch(a), J.parity_sketch(b)) <= len(np.setxor1d(a, b))
+        assert J.sketch_distance(J.parity_sketch(a, 90), J.parity_sketch(b, 90)) <= len(np.setxor1d(a, b))
 
 
 def test_prefix_length_keeps_every_link():

@@ -1,13 +1,16 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products.
 
-Centroids are fitted on a bounded sample (:data:`SAMPLE`) and every vector is
-placed in its ``probes`` nearest cells, so that two vectors close to each other
-but on either side of a border still meet. Inside a cell the vectors are dealt
-into blocks of about ``block`` rows and each pair of blocks is one group: a
-cell with a third of all rows becomes many small groups and no task holds the
-cell. A pair that shares several cells counts in the lowest of them only.
-
-A group yields one row for each vector that has links there: their number, and
+Centroids are fitted on a bounded sample (:data:`SAMPLE`), every vector is
+placed in its nearest cell, and a cell is dealt into blocks of about ``block``
+rows, so that no task holds the cell. Each pair of blocks is one group, unless
+their cells are so far apart that no link can lead from one to the other: two
+unit vectors at the threshold are arccos(threshold) apart, so by the triangle
+inequality cells whose centroids are further apart than that and both covering
+angles have no link. The same bound thins out the rows of a group. What it does
+not rule out is compared, so the result is exact. Where vectors fill the sphere
+evenly it rules out nothing, and the products grow with the square of the rows.
+
+A group yields rows for the vectors that have links there: their number, and
 the smallest vector its links lead to. Pairs themselves are never written.
 """
 
@@ -27,7 +30,11 @@ from plumbline.llm.components import components, forest
 #: At most about so many vectors are used to fit the centroids.
 SAMPLE = 32_768
 #: Vectors a cell should hold, and the most cells there are.
-CELL_ROWS, MOST_CELLS = 1_024, 1_024
+CELL_ROWS, MOST_CELLS = 8_192, 1_024
+#: Rows of a block that are compared with the other block at once.
+TILE_ROWS = 512
+#: Slack of the bounds on angles, far above their rounding.
+SLACK = 1e-6
 
 
 def unit_vectors(column: pa.Array) -> list[np.ndarray | None]:
@@ -86,24 +93,26 @@ def _padded(units: list[bytes], width: int) -> np.ndarray:
     return x
 
 
-def _shares_lower(left: list, right: list) -> np.ndarray | None:
-    """Whether a row of either side share a cell below this one."""
-    cells = sorted({c for cs in left for c in cs} & {c for cs in right for c in cs})
-    if not cells:
-        return None
-    at = {c: i for i, c in enumerate(cells)}
-    marks = []
-    for side in (left, right):
-        m = np.zeros((len(side), len(cells)), np.float32)
-        for i, cs in enumerate(side):
-            for c in cs:
-                if c in at:
-                    m[i, at[c]] = 1
-        marks.append(m)
-    return marks[0] @ marks[1].T > 0
-
-
-def linked_in_cells(units: DataFrame, threshold: float, probes: int, block: int) -> DataFrame:
+def reach(centres: np.ndarray, angles: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether a link can lead from one cell to another, by their covering angles."""
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    return apart <= angles[:, None] + angles + np.arccos(np.clip(threshold, -1, 1)) + SLACK
+
+
+def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which products reach the threshold: in single precision, and in double
+    where that is too close to tell."""
+    s = x.astype(np.float32) @ y.astype(np.float32).T
+    slack = (x.shape[1] + 4) * 2.0**-23
+    hit = s >= threshold + slack
+    p, q = np.nonzero((s >= threshold - slack) & ~hit)
+    for at in range(0, len(p), 1 << 16):
+        a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+        hit[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+    return hit
+
+
+def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame:
     """(vec_id, n_links, low): partial link counts of vectors and, for each, the
     smallest vector that this group's links lead to. ``units``: vec_id, unit."""
     sc = units.sparkSession.sparkContext
@@ -119,52 +128,72 @@ def linked_in_cells(units: DataFrame, threshold: float, probes: int, block: int)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = centres.value
-        t = min(probes, len(c))
         for batch in batches:
-            x = _padded(batch["unit"].tolist(), width)
-            near = np.sort(np.argpartition(-(x @ c.T), t - 1, axis=1)[:, :t], axis=1)
-            for r in range(t):
-                lower = [row[:r].tolist() for row in near]
-                yield pd.DataFrame({"cell": near[:, r], "lower": lower, "vec_id": batch["vec_id"], "unit": batch["unit"]})
+            s = _padded(batch["unit"].tolist(), width) @ c.T
+            cell = s.argmax(1)
+            yield pd.DataFrame({"cell": cell, "near": s[np.arange(len(s)), cell], "vec_id": batch["vec_id"], "unit": batch["unit"]})
 
     # Vectors of unlike length never meet: the length is part of the cell.
-    placed = written(units.mapInPandas(place, "cell int, lower array<int>, vec_id long, unit binary").withColumn("dim", F.octet_length("unit")), "cells")
-    blocks = placed.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = written(units.mapInPandas(place, "cell int, near double, vec_id long, unit binary").withColumn("dim", F.octet_length("unit")), "cells")
     # One row a cell, MOST_CELLS for each vector length.
-    sized = placed.join(F.broadcast(blocks), ["cell", "dim"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sized.select("cell", "dim", "lower", "vec_id", "unit", "own", others.alias("other")).select(
-        "cell", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "lower", "vec_id", "unit"
+    sizes = placed.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("near").alias("near"))
+    count, angle = {}, np.zeros(len(centres.value))
+    for r in sizes.collect():
+        count[r.dim, r.cell] = r.blocks
+        angle[r.cell] = max(angle[r.cell], np.arccos(np.clip(r.near, -1, 1)))
+    cells = sc.broadcast((count, angle, reach(centres.value, angle, threshold)))
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        cell, dim, own = map(int, key)
+        count, _, near = cells.value
+        group = group.sort_values("vec_id")
+        partners = [d << 32 | b for d in np.flatnonzero(near[cell]).tolist() for b in range(count.get((dim, d), 0))]
+        packed = {"dim": dim, "own": cell << 32 | own, "partners": [partners], "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "units": b"".join(group["unit"])}
+        return pd.DataFrame(packed)
+
+    sized = placed.join(F.broadcast(sizes.select("cell", "dim", "blocks")), ["cell", "dim"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    packed = sized.select("cell", "dim", "own", "vec_id", "unit").groupBy("cell", "dim", "own").applyInPandas(pack, "dim int, own long, partners array<long>, ids binary, units binary")
+    dealt = written(packed, "blocks").select("dim", "own", "ids", "units", F.explode("partners").alias("other")).select(
+        "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "units"
     )
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        left = group[group["own"] == i].sort_values("vec_id")
-        right = left if i == j else group[group["own"] == j].sort_values("vec_id")
-        a, b = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
-        dim = int(group["dim"].iloc[0]) // 8
-        x, y = _padded(left["unit"].tolist(), dim), _padded(right["unit"].tolist(), dim)
-        hit = x @ y.T >= threshold
-        if i == j:
-            np.fill_diagonal(hit, False)
-        if hit.any() and (seen := _shares_lower(left["lower"].tolist(), right["lower"].tolist())) is not None:
-            hit &= ~seen
-        p, q = np.nonzero(hit)
-        if not len(p):
-            return pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
-        count = pd.Series(hit.sum(1), a)
-        if i != j:
-            count = pd.concat([count, pd.Series(hit.sum(0), b)])
-        ids, low = forest(a[p], b[q])
-        return pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy(), "low": low})
-
-    return dealt.groupBy("cell", "dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        dim, i, j = map(int, key)
+        none = pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
+        sides = {own: (np.frombuffer(a, np.int64), np.frombuffer(u, np.float64).reshape(-1, dim // 8)) for own, a, u in zip(group["own"], group["ids"], group["units"])}
+        if i not in sides or j not in sides:  # a block that no row was dealt to
+            return none
+        (a, x), (b, y) = sides[i], sides[j]
+        if i >> 32 != j >> 32:
+            # Rows out of reach of the other block's cell have no links there.
+            _, angle, _ = cells.value
+            widest = np.arccos(np.clip(threshold, -1, 1)) + SLACK
+            near = []
+            for z, cell in ((x, j >> 32), (y, i >> 32)):
+                s = z @ centres.value[cell, : dim // 8]
+                near.append(np.arccos(np.clip(s, -1, 1)) <= angle[cell] + widest)
+            a, x, b, y = a[near[0]], x[near[0]], b[near[1]], y[near[1]]
+        out = [none]
+        for at in range(0, len(a), TILE_ROWS):
+            own = a[at : at + TILE_ROWS]
+            # Of a block with itself, each pair once: the rows up to this tile's end.
+            other = b[: at + len(own)] if i == j else b
+            hit = _hits(x[at : at + len(own)], y[: len(other)], threshold)
+            if i == j:
+                hit &= np.arange(len(other)) < at + np.arange(len(own))[:, None]
+            p, q = np.nonzero(hit)
+            if not len(p):
+                continue
+            count = pd.concat([pd.Series(hit.sum(1), own), pd.Series(hit.sum(0), other)]).groupby(level=0).sum()
+            ids, low = forest(own[p], other[q])
+            out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy(), "low": low}))
+        return pd.concat(out)
+
+    return dealt.groupBy("dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, probes: int = 4, block: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, threshold: float = 0.9, block: int = 8_192, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each id.
 
@@ -177,7 +206,7 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).filter("vec_id is not null")
     units = rows.mapInArrow(_to_units, "vec_id long, unit binary").groupBy("vec_id").agg(F.min("unit").alias("unit"))
     units = written(units, "units")
-    links = written(linked_in_cells(units.filter("unit is not null"), threshold, probes, block), "vector-links")
+    links = written(linked_in_cells(units.filter("unit is not null"), threshold, block), "vector-links")
     counts = links.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     found = components(links, "vec_id", "low").withColumnRenamed("id", "vec_id")
     out = units.select("vec_id").join(counts, "vec_id", "left").join(found, "vec_id", "left")

@@ -87,6 +87,35 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, cell_rows, bloc
     assert sorted(map(tuple, got)) == brute_links(rows, 0.9)
 
 
+def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 16)
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 128)
+    r = np.random.default_rng(7)
+    x = r.normal(size=(800, 64))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    y = r.normal(size=x.shape)
+    y -= (x * y).sum(1)[:, None] * x
+    y /= np.sqrt((y**2).sum(1))[:, None]
+    partners = 0.9005 * x + np.sqrt(1 - 0.9005**2) * y
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, partners]).astype(np.float32))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, got)) == brute_links(rows, 0.9)
+    assert sum(g.n_links > 0 for g in got) == 1600
+
+
+def test_far_cells_are_ruled_out():
+    x = np.random.default_rng(3).normal(size=(900, 16))
+    x[:300] = [9.0, *[0.0] * 15] + x[:300] * 0.1
+    x[300:600] = [-9.0, *[0.0] * 15] + x[300:600] * 0.1
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    c = embedding_dedup.fit_centroids(x, 12)
+    near = (x @ c.T).argmax(1)
+    angles = np.array([np.arccos(np.clip((x[near == k] @ c[k]).min(initial=1), -1, 1)) for k in range(len(c))])
+    meet = embedding_dedup.reach(c, angles, 0.9)
+    p, q = np.nonzero(x @ x.T >= 0.9)
+    assert meet[near[p], near[q]].all() and not meet.all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 

@@ -9,7 +9,7 @@ and reads it back as the next stage's documents.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, language_id, packing, quality_nbsvm
@@ -40,18 +40,26 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): that of
-    the smallest id. Of rows that repeat an id one stays, the least by text.
-    Rows without an id stay unless their text repeats such a row's."""
-    found = jaccard_join.near_duplicates(docs, words=5, percent=80)
-    stay = written(found.filter("doc = component_id").groupBy("doc").agg(F.count(F.lit(1)).alias("times")), "stay").withColumnRenamed("doc", "doc_id")
-    kept = docs.join(stay.filter("times = 1").select("doc_id"), "doc_id", "left_semi")
-    again = stay.filter("times > 1").select("doc_id")
+    """One document of each group of near duplicates (five words, 0.8), whatever
+    its ids are: that of the smallest id, and of several rows with that id, or
+    of a group without ids, the least by text. Texts without a word are in no
+    group; of them only rows that repeat both id and text go."""
+    found = jaccard_join.near_duplicates(docs, words=5, percent=80, keys=True).filter("doc <=> component_id")
+    # Both keys of a row without a word: an id has fewer digits than an md5.
+    group = F.coalesce(F.col("component_key").cast("string"), F.concat_ws(" ", F.lit("row"), "doc", "text_key"))
+    first = written(found.groupBy(group.alias("_group"), "doc", "text_key").agg(F.count(F.lit(1)).alias("times")), "stay")
+    stay = written(first.groupBy("_group").agg(F.sum("times").alias("times"), F.first("doc").alias("doc"), F.first("text_key").alias("text_key")), "stay")
+
+    def rows_of(keys: DataFrame, how: str) -> DataFrame:
+        return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc"]) & F.md5(docs["text"]).eqNullSafe(keys["text_key"]), how)
+
+    kept = rows_of(stay.filter("times = 1"), "left_semi")
+    again = stay.filter("times > 1").select("_group")
     if not again.isEmpty():
-        order = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        least = docs.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
-        kept = kept.unionByName(least)
-    return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"])).select(*docs.columns)
+        order = ["text", *[c for c in docs.columns if c != "text"]]
+        least = rows_of(first.join(again, "_group", "left_semi"), "inner").groupBy("_group").agg(F.min(F.struct(*[docs[c] for c in order])).alias("_row"))
+        kept = kept.unionByName(least.select("_row.*"))
+    return kept.select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,7 +121,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc, n, class (null without words), group, prefix, sketch of each row."""
+    """doc, n, class (null without words), group, prefix, sketch of each row,
+    and ``text_key`` if ``docs`` has it as its third column."""
     sc = docs.sparkSession.sparkContext
 
     def fill(own: np.ndarray, batch: pa.RecordBatch) -> None:
@@ -150,11 +151,12 @@ def described(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for r, x in zip(rows, (n, int(whole.view(np.int64)[0]), int(part.view(np.int64)[0]), prefix.tobytes(), parity_sketch(h, percent))):
                     r.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())))],
-                names=["doc", "n", "class", "group", "prefix", "sketch"],
+                [batch.column(0), *(pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))), *batch.columns[2:]],
+                names=["doc", "n", "class", "group", "prefix", "sketch", *keys],
             )
 
-    return docs.mapInArrow(describe, "doc long, n long, class long, `group` long, prefix binary, sketch binary")
+    keys = docs.columns[2:]
+    return docs.mapInArrow(describe, ", ".join(["doc long, n long, class long, `group` long, prefix binary, sketch binary", *(f"{k} string" for k in keys)]))
 
 
 def _similar_sizes(a: str, b: str, percent: int):
@@ -310,8 +312,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
     return both.select("a", "b", "ma", "mb").mapInPandas(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_shingles, component_id), one row for each row of ``docs``.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """(doc, n_shingles, component_id), one row for each row of ``docs``; with
+    ``keys`` also text_key, the text's md5, and component_key, which tells
+    components apart where ids are null or repeated (null without a shingle).
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer
     than ``words`` words has the one shingle of them all. Documents link when
@@ -323,7 +327,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    table = written(described(rows, words, percent), "described")
+    keyed = rows.withColumn("text_key", F.md5("text")) if keys else rows
+    table = written(described(keyed, words, percent), "described")
 
     # Classes of equal sets, each with one document to read its set from.
     filled = table.filter("class is not null")
@@ -395,9 +400,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     found = components(links).select(F.col("id").alias("class"), F.col("component_id").alias("component"))
     of_class = written(classes.select("class", F.col("doc").alias("least")).join(found, "class", "left").withColumn("component", F.coalesce("component", "class")), "class-components")
     least = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = of_class.join(least, "component").select("class", "component_id")
-    out = table.select("doc", "n", "class").join(names, "class", "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    more = ["text_key", F.col("component").alias("component_key")] if keys else []
+    names = of_class.join(least, "component").select("class", "component_id", "component")
+    out = table.drop("group", "prefix", "sketch").join(names, "class", "left")
+    return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), *more)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

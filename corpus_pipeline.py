@@ -33,7 +33,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that ``lang`` of these documents names. Null and
-    blank texts and those without a letter go."""
+    blank texts, those without a letter and those in other scripts go."""
     model = language_id.fit(docs)
     labelled = language_id.with_languages(docs, model)
     return labelled.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LANGUAGE)).select(*docs.columns)

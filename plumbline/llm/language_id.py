@@ -166,21 +166,23 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 
 def identify(model: Model, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-    """For each text its language, a score and spans (first byte, end, language)."""
+    """For each text its language, a score and spans (first byte, end, language).
+    Letters of words in scripts that no language uses speak for none: they only
+    lower the score, and a text of such words alone is undetermined."""
     if not model.languages:
         return [(UNDETERMINED, 0.0, [])] * len(starts)
     w = words_of(raw, starts)
     scores = model.word_scores(raw, w)
     labels = viterbi(scores, w.first)
+    decided = np.where(scores.any(1), w.letters, 0)
     names = model.languages
     out = []
     for i, (a, b) in enumerate(zip(w.first, w.first[1:])):
-        letters, own = w.letters[a:b], labels[a:b]
-        total = int(letters.sum())
-        if not total:
+        total, own = int(w.letters[a:b].sum()), labels[a:b]
+        if not decided[a:b].any():
             out.append((UNDETERMINED, 0.0, []))
             continue
-        held = np.bincount(own, letters, len(names))
+        held = np.bincount(own, decided[a:b], len(names))
         best = int(held.argmax())
         likely = np.sort(scores[a:b][own == best].sum(0, dtype=np.float64) - 0.0)
         mine = float(scores[a:b][own == best, best].sum(dtype=np.float64))
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE,
 
 def with_languages(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` (``und`` for a null text or one
-    without a letter), ``score`` (0 to 1) and ``spans``, an array of (start,
+    without a letter of a script that some language uses), ``score`` (0 to 1) and ``spans``, an array of (start,
     end, lang) in UTF-8 bytes. Columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -46,3 +46,17 @@ def test_each_group_keeps_one_row_whatever_its_ids(spark):
     for rows in cases:
         got = P.keep_one_of_each_group(spark, frame(spark, rows).repartition(3), "").collect()
         assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted((least(g) for g in brute_groups(rows)), key=str)
+
+
+PROSE = {"en": "the house of that man is there with something and nothing would thing", "de": "das haus des mannes ist dort und nicht schön über eine straße gegangen"}
+OTHER = "дом этого человека там и ничего не было бы вещь которая стоит"
+
+
+def test_language_stage_drops_scripts_that_it_cannot_tell(spark):
+    rows = [(i, t, lang) for i in range(0, 60, 2) for i, (lang, t) in enumerate(PROSE.items(), i)]
+    odd = [(100, OTHER, "de"), (101, "家在那裡 沒有 什麼 東西", None), (102, "", "en"), (103, None, "de"), (104, "12 !?", "en")]
+    odd += [(105, PROSE["en"] + " " + OTHER[:20], None), (106, PROSE["en"] + ". " + PROSE["de"], None), (107, "the " + OTHER * 3, None), (None, PROSE["de"], None)]
+    learnt = [(i + 1000, t, lang) for i in range(0, 4000, 2) for i, (lang, t) in enumerate(PROSE.items(), i)]
+    got = P.keep_known_language(spark, frame(spark, rows + odd + learnt), "").filter("doc_id is null or doc_id < 1000").collect()
+    assert sorted((str(r.doc_id) for r in got)) == sorted([str(r[0]) for r in rows] + ["105", "106", "None"])
+    assert P.keep_known_language(spark, frame(spark, []), "").count() == 0

@@ -194,17 +194,37 @@ def with_slots(placed: DataFrame) -> DataFrame:
     return numbered.join(F.broadcast(bases), ["shard", "old_shard", "block"]).withColumn("slot", F.col("first") + F.col("row")).drop("first", "row")
 
 
-def rewrite(documents: DataFrame, placed: DataFrame, layout: dict[int, str], target: str, id_col: str = "doc_id") -> dict[int, str]:
+def rewrite(
+    documents: DataFrame, placed: DataFrame, layout: dict[int, str], target: str, id_col: str = "doc_id", text_col: str = "text", old_shard: Column | None = None
+) -> dict[int, str]:
     """Writes the shards that gain or lose rows below ``target`` and returns the
     new layout; shards that keep all their rows keep their folder. ``layout``:
-    the old shards' folders; ids must be unique and not null. Nothing old is
-    touched, so a run that breaks off leaves the old layout whole."""
+    the old shards' folders. Rows meet their places by id (null too), text_crc32
+    where ``placed`` has it, and the number of the copy, so each row is written
+    once. ``old_shard``, as given to :func:`reshard`, is needed where rows equal
+    in id and text lie in different old shards. Nothing old is touched, so a
+    run that breaks off leaves the old layout whole."""
     changed = {s for r in placed.filter("shard <> old_shard").select("shard", "old_shard").distinct().collect() for s in r}
     kept = {s: p for s, p in layout.items() if s not in changed}
     if changed:
-        moved = placed.filter(F.col("shard").isin(*changed)).select(F.col("doc").alias(id_col), "shard", "slot")
-        clash = [c for c in ("shard", "slot") if c in documents.columns]
-        documents.drop(*clash).join(moved, id_col).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        own = {"_doc": F.col(id_col).cast("long")}
+        there = {"_doc": F.col("doc")}
+        if "text_crc32" in placed.columns:
+            own["_crc32"], there["_crc32"] = F.crc32(text), F.col("text_crc32")
+        if old_shard is not None:
+            where = old_shard.cast("int")
+            own["_old"], there["_old"] = F.when((where >= 0) & (where <= F.lit(max(layout))), where).otherwise(0), F.col("old_shard")
+        # Copies of one key are numbered by size on both sides, so that sizes agree.
+        plain = [c for c, kind in documents.dtypes if "map<" not in kind and kind != "variant"]
+        keys, clash = list(own), [c for c in ("shard", "slot") if c in documents.columns]
+        number = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = documents.withColumns(own).withColumn("_copy", number(F.octet_length(text), *plain)).drop(*clash)
+        by_size = ["size"] if "size" in placed.columns else []
+        moved = placed.withColumns(there).withColumn("_copy", number(*by_size, "shard", "slot")).filter(F.col("shard").isin(*changed)).select(*keys, "_copy", "shard", "slot")
+        match = [rows[c].eqNullSafe(moved[c]) for c in (*keys, "_copy")]
+        out = rows.join(moved, match).select(*[rows[c] for c in documents.columns if c not in clash], "shard", "slot")
+        out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(target)
     filled = {r.shard for r in placed.select("shard").distinct().collect()}
     return kept | {s: f"{target}/shard={s}" for s in changed if s in filled}
 

@@ -64,3 +64,25 @@ def test_rewrite_keeps_untouched_shards(spark, tmp_path):
     assert new[0] == "old/0" and new[2] == "old/2"
     assert {r.doc_id for r in spark.read.parquet(new[3]).collect()} == {1} | {i for i in range(200) if i % 4 == 3}
     assert {r.doc_id for r in spark.read.parquet(new[1]).collect()} == {i for i in range(200) if i % 4 == 1 and i != 1}
+
+
+def test_rewrite_writes_each_row_once(spark, tmp_path):
+    rows = [(i % 40, f"text {i % 60}" * (i % 7), i % 3) for i in range(400)] + [(None, "no id", 0), (None, "no id", 1), (None, "other", 2), (None, None, 0), (7, None, 1), (7, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int").withColumn("slot", F.lit("clash"))
+    for k, old in enumerate((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)), F.col("part"))):
+        placed = R.reshard(docs, old, 3, 5).cache()
+        new = R.rewrite(docs, placed, {s: f"old/{s}" for s in range(3)}, str(tmp_path / f"new{k}"), old_shard=old)
+        assert sorted(new) == list(range(5)) and all(p.startswith(str(tmp_path)) for p in new.values())
+        found = {s: spark.read.parquet(p).collect() for s, p in new.items()}
+        assert sorted(((r.doc_id, r.text, r.part) for rs in found.values() for r in rs), key=str) == sorted(rows, key=str)
+        want = sorted((r.shard, r.slot, str(r.doc), r.size, r.text_crc32) for r in placed.collect())
+        assert sorted((s, r.slot, str(r.doc_id), len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for s, rs in found.items() for r in rs) == want
+
+
+def test_rewrite_leaves_copies_in_untouched_shards(spark, tmp_path):
+    rows = [(5, "same", "a", 0), (5, "same", "b", 1), (None, "x", "c", 1), (6, "y", "d", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string, part int")
+    placed = docs.select(F.col("doc_id").alias("doc"), F.crc32("text").alias("text_crc32"), F.col("part").alias("old_shard"), F.when(F.col("part") == 1, 2).otherwise(F.col("part")).alias("shard"), F.col("part").alias("slot"))
+    new = R.rewrite(docs, placed, {s: f"old/{s}" for s in range(3)}, str(tmp_path / "new"), old_shard=F.col("part"))
+    assert new[0] == "old/0" and sorted(new) == [0, 2]
+    assert sorted(r.note for r in spark.read.parquet(new[2]).collect()) == ["b", "c", "d"]

@@ -2,6 +2,7 @@
 
 Where the markup says what is what, it decides: text in an article (or else in
 a main element, or in a container whose name says content) is the page's text,
+an article being no more than a card where main or such a container holds more,
 and menus, headers, footers, sidebars, notices, adverts, forms, comments and
 the like are not. Repetition must not overrule it: articles of a host may
 share a passage, and an advert may be seen once.
@@ -54,12 +55,14 @@ _AWAY = set(
     "pagination pager search searchbox form toc skip copyright legal hidden invisible offscreen complementary contentinfo dialog".split()
 )
 _READERS = set("comment comments commentlist disqus reply replies respond discussion guestbook".split())
+#: Of them, those whose articles are teasers of other pages.
+_TEASERS = set("related recommended recommendations promo promos promotion promoted sponsor sponsored sponsors".split())
 #: Of them, those that an article's own heading may bear.
 _HEADING = {"header", "masthead", "banner"}
 _CONTENT = set("article articlebody content contents main mainbody post posting entry story storybody body bodytext text".split())
 _ROLES_AWAY = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
-ARTICLE, MAIN, NAMED, PLAIN, AWAY = 4, 3, 2, 1, 0
+ARTICLE, MAIN, NAMED, PLAIN, TEASER, CARD, AWAY = 6, 5, 4, 3, 2, 1, 0
 
 
 @dataclass
@@ -68,6 +71,8 @@ class _Open:
     away: bool
     firm: bool  # no article inside can make up for it
     level: int
+    teasers: bool = False  # inside a container that names other pages
+    teaser: bool = False  # inside an article or main of such a container
 
 
 def _names(attributes: str) -> dict[str, str]:
@@ -82,12 +87,19 @@ def _words(*values: str) -> set[str]:
 
 
 def _opened(name: str, attributes: str, parent: _Open) -> _Open:
+    now = _marked(name, attributes, parent)
+    now.teasers |= parent.teasers
+    now.teaser = parent.teasers and (parent.teaser or name in ("article", "main")) and not now.firm
+    return now
+
+
+def _marked(name: str, attributes: str, parent: _Open) -> _Open:
     level, away, firm = parent.level, parent.away, parent.firm
     if name in _NEVER:
         return _Open(name, True, firm or name != "form", level)
     if name == "header" and level < MAIN:
         away = True
-    if name in ("article", "main"):
+    if name in ("article", "main") and not parent.teasers:
         if away and not firm:
             away = False
         level = max(level, ARTICLE if name == "article" else MAIN)
@@ -114,6 +126,7 @@ def _opened(name: str, attributes: str, parent: _Open) -> _Open:
                 firm = firm or bool(against & _READERS)
             elif good and name in ("div", "section", "td", "article"):
                 level = max(level, NAMED)
+            return _Open(name, away, firm, level, bool(against & _TEASERS))
     return _Open(name, away, firm, level)
 
 
@@ -122,7 +135,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     stack = [_Open("", False, False, PLAIN)]
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    state = PLAIN
+    state, teasers = PLAIN, 0
 
     def close_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -135,7 +148,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if not text:
             return
         top = stack[-1]
-        now = AWAY if top.away else top.level
+        now = top.level if not top.away else TEASER if top.teaser else AWAY
         if now != state:
             close_block()
             state = now
@@ -186,17 +199,28 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 if stack[k].name in _SCOPE:
                     break
         if not attributes.endswith("/") or name in ("div", "p", "span", "article", "section"):
-            stack.append(_opened(name, attributes, stack[-1]))
+            outer = stack[-1]
+            stack.append(_opened(name, attributes, outer))
+            teasers += stack[-1].teaser and not outer.teaser
     close_block()
-    return out
+    # Several articles in such containers are cards of a list.
+    return [(CARD if level == TEASER and teasers > 1 else level, t) for level, t in out]
 
 
 def decided(blocks: list[tuple[int, str]]) -> str | None:
-    """The text that the markup decides on, None if it does not."""
+    """The text that the markup decides on, None if it does not. An article
+    stands back where main or a named container holds more text outside it,
+    and teasers count only where the page has nothing else, or a single one
+    holds more than all text outside containers."""
     top = max((level for level, _ in blocks), default=AWAY)
     if top == PLAIN:
-        return None
-    return " ".join(t for level, t in blocks if level == top) if top > PLAIN else ""
+        if sum(len(t) if x == TEASER else -len(t) for x, t in blocks if x in (TEASER, PLAIN)) <= 0:
+            return None
+        top = TEASER
+    if top == ARTICLE:
+        held = {level: sum(len(t) for x, t in blocks if x == level) for level in (NAMED, MAIN, ARTICLE)}
+        top = max(held, key=lambda level: (held[level], level))
+    return " ".join(t for level, t in blocks if level == top) if top > AWAY else ""
 
 
 # ------------------------------------------------------ repeats within a host

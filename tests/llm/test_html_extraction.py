@@ -29,6 +29,25 @@ def test_markup_decides(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<main><p>body</p><section class='related'><article class='card'>teaser</article></section></main>", "body"),
+        ("<main><p>body</p><div class='promo'><div><article><h2>a long teaser of another page</h2></article></div></div></main>", "body"),
+        ("<main><h1>T</h1><p>a body of some length</p><article class='card'>teaser</article></main>", "T a body of some length"),
+        ("<div class='post-content'><p>a body of some length</p></div><div><article>teaser</article></div>", "a body of some length"),
+        ("<main><p>Home</p><article><p>the whole story</p></article></main>", "the whole story"),
+        ("<article><p>story</p><section class='recommended'><article>another page's teaser</article></section></article>", "story"),
+        ("<div class='promotion'><article>all there is</article></div>", "all there is"),
+        ("<p>(c)</p><div class='promotion'><article>all there is</article></div>", "all there is"),
+        ("<p>body</p><div class='related'><article>a teaser</article><article>a teaser</article></div>", None),
+        ("<div class='sidebar-left'><article>all there is</article></div>", "all there is"),
+    ],
+)
+def test_cards_do_not_displace_the_body(page, want):
+    assert text(page) == want
+
+
 def test_suffix_array_against_sorting():
     r = np.random.default_rng(0)
     for _ in range(50):

@@ -24,27 +24,30 @@ from plumbline.llm import _bpe
 from plumbline.llm._tables import runs_of_bytes, text_buffer, written
 
 #: Bytes of text handled at once in a worker.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 512 << 10
 _CODED = pa.schema([("doc", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """First pass: doc, part, part_start (ids before it in its part), n, ids
     (little-endian unsigned 32-bit, ``end_id`` last). Null text counts as empty;
-    repeated rows are documents of their own; other columns are not read."""
+    repeated rows are documents of their own; other columns are not read. An
+    added token of the vocabulary in a text is its one id, as ``tokenizers``
+    has it."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(_bpe.ranks_from_json(vocabulary))
+    shared = spark.sparkContext.broadcast(_bpe.ranks_from_json(vocabulary))  # a vocabulary
     from public_tokenizers import PATTERN
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _bpe.PieceCache(_bpe.encoding(vocabulary, PATTERN, ranks.value))
+        ranks, added = shared.value
+        cache = _bpe.PieceCache(_bpe.encoding(vocabulary, PATTERN, ranks))
         part = TaskContext.get().partitionId()
         before = 0
         for batch in batches:
             raw, starts, ends = text_buffer(batch.column(1))
             for i, j in runs_of_bytes(starts, ends, RUN_BYTES):
                 base = starts[i]
-                ids, first = _bpe.encode_texts(raw[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, cache)
+                ids, first = _bpe.encode_texts(raw[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base, cache, added)
                 n = np.diff(first) + 1
                 whole = np.full(len(ids) + (j - i), end_id, "<u4")
                 stop = np.cumsum(n)

@@ -28,12 +28,14 @@ def enc():
 
 def test_pretokens_agree_with_the_pattern(enc):
     texts = some_texts(5000, 30)
-    ids, first = _bpe.encode_texts(*text_buffer(pa.array(texts)), _bpe.PieceCache(enc, limit=50))
+    ids, first = _bpe.encode_texts(*text_buffer(pa.array(texts)), _bpe.PieceCache(enc, limit=5_000))
     assert [enc.encode_ordinary(t) for t in texts] == [ids[a:b].tolist() for a, b in zip(first, first[1:])]
 
 
 def test_json_vocabulary_is_the_rank_file():
-    assert _bpe.ranks_from_json(JSON) == _bpe.ranks_from_rank_file(P.path("byte_bpe_50k.tiktoken"))
+    ranks, added = _bpe.ranks_from_json(JSON)
+    assert ranks == _bpe.ranks_from_rank_file(P.path("byte_bpe_50k.tiktoken"))
+    assert added == {b"<|endoftext|>": 50256}
 
 
 @pytest.mark.parametrize("text", ["x" * 300 + " y" * 300, "it's " * 200, " \n " * 300, "", *some_texts(30, 400, 7)])
@@ -70,8 +72,7 @@ def test_packing_against_brute_force(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
-    rows = [(1, None), (2, ""), (2, ""), (3, "long text " * 300), *((10 + i, t) for i, t in enumerate(some_texts(40, 60)))]
+    rows = [(1, None), (2, ""), (2, ""), (3, "long text " * 300), (4, "<|endoftext|>"), (5, "a <|endoftext|><|endoftext|> b<|endo"), (6, "ftext|> x"), (7, "c<|endoftext|>"), *((10 + i, t) for i, t in enumerate(some_texts(40, 60)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1)).repartition(5)
     out = packing.pack(docs, JSON, width=64).collect()
     want = {i: tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}

@@ -42,6 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` made, once what was made of them is whole."""
+    for df in tables:
+        files = df.inputFiles()
+        if not files:
+            continue
+        jvm = df.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, start and end of each one; a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):

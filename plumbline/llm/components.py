@@ -1,10 +1,12 @@
 """Connected components of a link table, on the executors alone.
 
-Alternating large-star and small-star rounds (Kiveris et al., "Connected
-Components in MapReduce and Beyond", 2014) turn any graph into stars around
-each component's smallest id in about log(n) rounds. Each round is two
-aggregations with partial sums and joins; nothing is gathered on the driver
-but two numbers a round. Rounds are written tables in the shared folder.
+Every partition first replaces its links by a forest of their ends, which keeps
+components and leaves at most one link an end. Then alternating large-star and
+small-star rounds (Kiveris et al., "Connected Components in MapReduce and
+Beyond", 2014) turn the rest into stars around each component's smallest id in
+about log(n) rounds; each is two aggregations with partial sums and joins. A
+table that is stars already needs none. Rounds are written tables in the shared
+folder, and each is deleted when the next one is whole.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._tables import written
+from plumbline.llm._tables import dropped, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +43,36 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
+#: Links that a partition gathers before it reduces them to a forest.
+GATHERED = 1 << 18
+
+
 def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forest of a partition's links: (end, smallest end it is joined to)."""
+    kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def merge() -> None:
+        ids, low = forest(*(np.concatenate(x) for x in zip(*kept)))
+        kept[:] = [(ids[ids != low], low[ids != low])]
+
+    new = 0
     for batch in batches:
-        ids, low = forest(batch["a"].to_numpy(), batch["b"].to_numpy())
-        keep = ids != low
-        yield pd.DataFrame({"a": ids[keep], "b": low[keep]})
+        kept.append((batch["a"].to_numpy(np.int64), batch["b"].to_numpy(np.int64)))
+        new += len(batch)
+        # At least as many new links as the forest holds, so that merging costs a factor only.
+        if new > max(GATHERED, len(kept[0][0])):
+            merge()
+            new = 0
+    merge()
+    a, b = kept[0]
+    for i in range(0, len(a), 50_000):
+        yield pd.DataFrame({"a": a[i : i + 50_000], "b": b[i : i + 50_000]})
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each link (a, b) is its a's only one and leads to no other's a."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("as_a"), F.lit(0).alias("as_b")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("as_a"), F.lit(1).alias("as_b")))
+    return ends.groupBy("id").agg(F.sum("as_a").alias("as_a"), F.max("as_b").alias("as_b")).filter("as_a + as_b > 1").isEmpty()
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -61,19 +88,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     itself and links with a null end are left out; no links give no rows.
     """
     first = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
-    edges = written(first.mapInPandas(_contract, "a long, b long").distinct(), "links")
-    before = None
+    edges = written(first.mapInPandas(_contract, "a long, b long").distinct().mapInPandas(_contract, "a long, b long"), "links")
     for _ in range(most_rounds):
+        if _are_stars(edges):
+            break
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         star = _with_least(down)
         small = star.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = written(small.filter("a <> b").distinct(), "links")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        before, edges = edges, written(small.filter("a <> b").distinct().mapInPandas(_contract, "a long, b long"), "links")
+        dropped(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(

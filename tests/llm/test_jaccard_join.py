@@ -59,9 +59,10 @@ def corpus(seed):
     return [(i, t) for i, t in enumerate(rows)] + [(None, rows[3]), (3, rows[3]), (None, "no copy of this one is there")]
 
 
-@pytest.mark.parametrize("words,percent,seed", [(3, 90, 1), (5, 80, 2), (3, 90, 3)])
-def test_against_brute_force(spark, monkeypatch, words, percent, seed):
-    monkeypatch.setattr(J, "BLOCK", 16)
+@pytest.mark.parametrize("words,percent,seed,block,few", [(3, 90, 1, 16, 2), (5, 80, 2, 16, 16), (3, 90, 3, 64, 4)])
+def test_against_brute_force(spark, monkeypatch, words, percent, seed, block, few):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "FEW", few)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = J.near_duplicates(docs.selectExpr("doc_id", "text", "'clash' as class"), words, percent).collect()

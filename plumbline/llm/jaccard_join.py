@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._tables import dropped, runs_of_bytes, text_buffer, written
+from plumbline.llm._tables import dropped, lean, runs_of_bytes, text_buffer, written
 from plumbline.llm.components import components
 
 #: Counters for shingle frequencies, and bits of the filter of wanted documents.
@@ -87,7 +87,7 @@ def total_of_arrays(df: DataFrame, size: int, fill: Callable[[np.ndarray, pa.Rec
 
     schema = "slice int, body binary"
     # Sums of some partitions first, so that no task gets a slice of all of them.
-    some = df.mapInArrow(count, schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
+    some = df.mapInArrow(lean(count), schema).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
     partly = some.groupBy("slice", "part").applyInPandas(lambda key, g: add(key, g), schema)
     out = np.zeros(size // 8 if either else size, np.uint8 if either else np.int32)
     width = len(out) // _SLICES
@@ -161,7 +161,7 @@ def described(docs: DataFrame, counts, words: int, percent: int) -> DataFrame:
                 [batch.column(0), *(pa.array(r, t) for r, (_, t, _) in zip(rows, _DESCRIBED)), *batch.columns[2:]], names=["doc", *(x for x, _, _ in _DESCRIBED), *keys]
             )
 
-    return docs.mapInArrow(describe, ", ".join(["doc long", *(f"`{x}` {kind}" for x, _, kind in _DESCRIBED), *(f"{k} string" for k in keys)]))
+    return docs.mapInArrow(lean(describe), ", ".join(["doc long", *(f"`{x}` {kind}" for x, _, kind in _DESCRIBED), *(f"{k} string" for k in keys)]))
 
 
 def told_apart(table: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _open_pairs(postings: DataFrame, percent: int, all_pairs: bool) -> DataFrame
         if kept:
             yield done(pd.concat(kept, ignore_index=True))
 
-    return ordered.mapInPandas(compare_all, "token long, a long, b long")
+    return ordered.mapInPandas(lean(compare_all), "token long, a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -346,7 +346,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             checks = [set_hashes(h)[1] if len(h) else None for h in found]
             yield pa.RecordBatch.from_arrays([docs_, pa.array(checks, pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())], names=["doc", "check", "members"])
 
-    made = docs.select("doc", "text", spot.alias("spot")).mapInArrow(sets, "doc long, check long, members binary")
+    made = docs.select("doc", "text", spot.alias("spot")).mapInArrow(lean(sets), "doc long, check long, members binary")
     # A class's set comes from its one listed document.
     same = (wanted["check"] == made["check"]) & wanted["doc"].eqNullSafe(made["doc"])
     bodies = written(wanted.join(made, same).select(wanted["class"], "members").groupBy("class").agg(F.first("members").alias("members")), "sets")
@@ -366,7 +366,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
 
     with_a = pairs.join(bodies.select(F.col("class").alias("a"), F.col("members").alias("ma")), "a")
     both = with_a.join(bodies.select(F.col("class").alias("b"), F.col("members").alias("mb")), "b")
-    links = written(both.select("a", "b", "ma", "mb").mapInPandas(check, "a long, b long"), "text-links")
+    links = written(both.select("a", "b", "ma", "mb").mapInPandas(lean(check), "a long, b long"), "text-links")
     dropped(wanted, bodies)
     return links
 
@@ -385,7 +385,7 @@ def _grouped_postings(groups: DataFrame) -> DataFrame:
                 own, n = (np.repeat(part.column(k).to_numpy(), times) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(own), pa.array(n.astype(np.int32)), pa.array(pos)], names=["token", "group", "n", "pos"])
 
-    postings = groups.select("group", "n", "prefix").mapInArrow(explode, "token long, `group` long, n int, pos int")
+    postings = groups.select("group", "n", "prefix").mapInArrow(lean(explode), "token long, `group` long, n int, pos int")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     return postings.join(shared, "token")
 

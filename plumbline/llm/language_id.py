@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._tables import runs_of_bytes, text_buffer
+from plumbline.llm._tables import lean, runs_of_bytes, text_buffer
 
 SAMPLE = 12_000
 SLOTS = 1 << 16
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 #: Log likelihood that a switch of language costs, and a word out of script.
 SWITCH, OUT_OF_SCRIPT = 12.0, 25.0
 UNDETERMINED = "und"
@@ -135,14 +135,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     begin, sizes = first[:-1][order], n[order]
     steps = int(sizes[0]) if len(sizes) else 0
     live = np.searchsorted(-sizes, -np.arange(1, steps + 1), "right")  # texts with a word at step t
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
     if not steps:
         return labels
     k = scores.shape[1]
-    best_before = np.zeros(len(scores), np.int8)
+    best_before = np.zeros(len(scores), np.int32)
     switched = np.zeros((len(scores), k), bool)
     v = np.zeros((live[0], k))
-    final = np.zeros(live[0], np.int8)
+    final = np.zeros(live[0], np.int32)
     for t in range(steps):
         m = live[t]
         if m < len(v):
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE,
             n = np.concatenate([tri[tri > 0], script[script > 0]])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(n)], names=["lang", "slot", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
+    counted = rows.mapInArrow(lean(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in counted})
     at = {x: i for i, x in enumerate(languages)}
     tri, script = np.zeros((len(languages), SLOTS)), np.zeros((len(languages), len(SCRIPTS) + 1))
@@ -265,7 +265,7 @@ def with_languages(docs: DataFrame, model: Model, text_col: str = "text") -> Dat
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(label, f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
+    return docs.mapInArrow(lean(label), f"{schema}, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

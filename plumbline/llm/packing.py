@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import _bpe
-from plumbline.llm._tables import runs_of_bytes, text_buffer, written
+from plumbline.llm._tables import lean, runs_of_bytes, text_buffer, written
 
 #: Bytes of text handled at once in a worker.
 RUN_BYTES = 512 << 10
@@ -68,7 +68,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int, id_col: str
                 before += int(stop[-1])
 
     coded = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    return coded.mapInArrow(encode, "doc long, part int, part_start long, n long, ids binary")
+    return coded.mapInArrow(lean(encode), "doc long, part int, part_start long, n long, ids binary")
 
 
 def with_offsets(coded: DataFrame) -> DataFrame:

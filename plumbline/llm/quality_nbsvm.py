@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import _kernels as K
-from plumbline.llm._tables import runs_of_bytes, text_buffer
+from plumbline.llm._tables import lean, runs_of_bytes, text_buffer
 
 #: Labelled rows to fit on, at most about so many.
 SAMPLE = 6_000
 #: Slots for word n-grams and for shape n-grams.
 WORDS, SHAPES = 1 << 18, 1 << 14
-RUN_BYTES = 2 << 20
+RUN_BYTES = 512 << 10
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -169,8 +169,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0) -> M
         for i in own:
             v = r[rows[i]]
             cut = int(np.searchsorted(rows[i], WORDS))
-            length = float(np.sqrt(v[:cut] @ v[:cut])) or 1.0
-            data.append((rows[i], np.concatenate([v[:cut] / length, v[cut:]])))
+            v[:cut] /= float(np.sqrt(v[:cut] @ v[:cut])) or 1.0
+            data.append((rows[i], v))
         share = np.where(y[own] > 0, len(own) / (2 * max(1, (y[own] > 0).sum())), len(own) / (2 * max(1, (y[own] < 0).sum())))
         w, bias = dual_coordinate_descent(data, y[own], cost * share)
         return Model((w * r).astype(np.float32), (r[:WORDS] ** 2).astype(np.float32), bias, 1.0, 0.0)
@@ -211,9 +211,10 @@ def fit(
     picked = known.filter(F.pmod(F.xxhash64("doc"), F.lit(1 << 30)) <= share)
     # About ``sample`` rows of two numbers.
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc").select("doc", "text", "label")
-    got = rows.mapInArrow(_slots_of, "doc long, label int, slots binary").collect()
-    got.sort(key=lambda r: (r.doc, r.slots))
-    return fit_rows([np.frombuffer(r.slots, np.int32) for r in got], np.array([r.label for r in got]))
+    got = rows.mapInArrow(lean(_slots_of), "doc long, label int, slots binary").toArrow().combine_chunks()
+    label, slots = got.column("label").to_numpy(), got.column("slots").to_pylist()
+    order = sorted(range(len(slots)), key=lambda i: (got.column("doc")[i].as_py(), slots[i]))
+    return fit_rows([np.frombuffer(slots[i], np.int32) for i in order], label[order])
 
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -237,7 +238,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{schema}, `{score_col}` double")
+    return docs.mapInArrow(lean(score), f"{schema}, `{score_col}` double")
 
 
 def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:

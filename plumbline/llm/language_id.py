@@ -28,7 +28,7 @@ from plumbline.llm._tables import lean, runs_of_bytes, text_buffer
 
 SAMPLE = 12_000
 SLOTS = 1 << 16
-RUN_BYTES = 512 << 10
+RUN_BYTES = 1 << 20
 #: Log likelihood that a switch of language costs, and a word out of script.
 SWITCH, OUT_OF_SCRIPT = 12.0, 25.0
 UNDETERMINED = "und"

@@ -28,6 +28,18 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return own.join(F.broadcast(firsts), "_pid").withColumn(name, F.col("_first") + F.col("_row")).drop("_pid", "_first", "_row")
 
 
+def running_before(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before each one
+    along ``order``, which must not tie."""
+    ranged = settled(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
+    sums = ranged.groupBy("_pid").agg(F.sum(value).alias("_sum"))
+    up_to = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sums.select("_pid", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)).alias("_first"))  # a row a partition
+    within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("_row", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return own.join(F.broadcast(firsts), "_pid").withColumn(name, F.col("_first") + F.col("_row")).drop("_pid", "_first", "_row")
+
+
 def average_ranks(values: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """(keys, value, ``name``): the share of rows up to each value within its
     keys, ties at their average: (rows below + (equal rows + 1) / 2) / rows."""

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import partial, reduce
 from pathlib import Path
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
@@ -117,22 +118,24 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
+def exports(path: str) -> list[Path]:
+    """The file itself, or a folder's exports by name. Old binary workbooks are
+    an error, so that none is left out unseen."""
+    there = Path(path)
+    found = sorted(f for f in there.iterdir() if not f.name.startswith(("~$", "."))) if there.is_dir() else [there]
+    if old := [f.name for f in found if f.suffix.lower() == ".xls"]:
+        raise ValueError(f"binary workbooks cannot be read, save them as xlsx: {', '.join(old)}")
+    found = [f for f in found if f.suffix.lower() in (".csv", ".xlsx") or not there.is_dir()]
+    if not found:
+        raise FileNotFoundError(f"no exports in {path}")
+    return found
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     """A file, or all exports of a folder (each with its own header), as one
     canonical frame with ``pos``, the row's place."""
-    p = Path(path)
-    if p.is_dir():
-        files = sorted(f for f in p.iterdir() if f.suffix.lower() in (".csv", ".xlsx") and not f.name.startswith(("~$", ".")))
-        if not files:
-            raise FileNotFoundError(f"no exports in {path}")
-        frames = [named(_raw(spark, str(f))).withColumn("_file", F.lit(i)) for i, f in enumerate(files)]
-        df = frames[0]
-        for f in frames[1:]:
-            df = df.unionByName(f, allowMissingColumns=True)
-        df = df.withColumn("pos", F.col("_file").cast("long") * (1 << 40) + F.col("pos")).drop("_file")
-    else:
-        df = named(_raw(spark, path))
-    return canonical(df)
+    parts = [named(_raw(spark, str(f))).withColumn("pos", F.col("pos") + (i << 40)) for i, f in enumerate(exports(path))]
+    return canonical(reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts))
 
 
 def write_xlsx(df: DataFrame, path: str, sheet: str = "Sheet1") -> int:

@@ -20,72 +20,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._tables import written
+from plumbline.llm._tables import dropped, written
 
 #: Turns of a bucket in the search for the latest earlier message.
 BUCKET = 1_024
 #: A line before a quotation that says whose it is.
 ATTRIBUTION = r"(wrote|writes|schrieb|a écrit|escribió):\s*$"
-_MARKS = r"^([ \t]*>)+"
+#: Quote marks at the start of a line: the longest run of white space and marks
+#: that ends in a mark. One class of characters, so that no line is too long.
+_MARKS = r"^[ \t>]*>"
+_WHITE = " \t\n\x0b\f\r"
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
-def parsed(conversations: DataFrame) -> DataFrame:
-    """conv, turn, role, text, copies, lines (level and body; an attribution
-    has level -1), own (the message without quotations). Equal rows are one."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")
-    )
-    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    raw = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), "\n")
+def _lines_of(text: Column) -> Column:
+    """level (how many marks) and body of each line; an attribution has level -1."""
     marked = F.transform(
-        raw,
+        F.split(text, "\n"),
         lambda x: F.struct(
             F.length(F.translate(F.regexp_extract(x, _MARKS, 0), " \t", "")).alias("level"),
             F.regexp_replace(x, _MARKS + " ?", "").alias("body"),
         ),
     )
-    rows = rows.withColumn("lines", marked)
-    next_level = lambda i: F.get(F.col("lines"), i + 1)["level"]
-    lines = F.transform(
-        "lines",
-        lambda x, i: F.struct(
-            i.alias("no"),
-            F.when((x["level"] == 0) & (next_level(i) > 0) & x["body"].rlike(ATTRIBUTION), -1).otherwise(x["level"]).alias("level"),
-            x["body"].alias("body"),
-        ),
-    )
-    rows = rows.withColumn("lines", lines)
-    own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")
-    return rows.withColumn("own", F.regexp_replace(own, r"^\s+|\s+$", ""))
+    return marked
+
+
+def _attributed(lines: Column) -> Column:
+    says = lambda x, i: (x["level"] == 0) & (F.get(lines, i + 1)["level"] > 0) & x["body"].rlike(ATTRIBUTION)
+    return F.transform(lines, lambda x, i: F.struct(F.when(says(x, i), -1).otherwise(x["level"]).alias("level"), x["body"].alias("body")))
+
 
+def _unit(said: Column, level: Column) -> Column:
+    return F.struct(level.alias("level"), F.xxhash64(said).alias("unit"), F.length(said).alias("weight"))
 
-def _units(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, unit, weight of lines and of whole runs (``run``); blank ones left out."""
-    whole = lines.groupBy(*keys, "run").agg(F.sort_array(F.collect_list(F.struct("no", "body"))).alias("all"))
-    joined = whole.select(*keys, normalised(F.array_join(F.transform("all", lambda x: x["body"]), " ")).alias("said"))
-    each = lines.select(*keys, normalised(F.col("body")).alias("said"))
-    said = joined.unionByName(each).filter("said <> ''")
-    return said.select(*keys, F.xxhash64("said").alias("unit"), F.length("said").alias("weight")).distinct()
+
+def _units(lines: Column, level: Column) -> Column:
+    """Units of lines of one level: all of them as one passage, and each line."""
+    whole = F.array(normalised(F.array_join(F.transform(lines, lambda x: x["body"]), " ")))
+    said = F.concat(whole, F.transform(lines, lambda x: normalised(x["body"])))
+    return F.transform(F.filter(said, lambda x: x != ""), lambda x: _unit(x, level))
+
+
+def parsed(conversations: DataFrame) -> DataFrame:
+    """conv, turn, role, text, own (the message without quotations, null where
+    that is the text without white space around it), quoted and said (arrays of
+    level, unit, weight; of what is quoted and of what the message says itself).
+
+    Passages are put together within each row, so that only hashes of them are
+    ever shuffled."""
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")
+    )
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "")
+    rows = rows.withColumn("lines", _lines_of(plain)).withColumn("lines", _attributed(F.col("lines")))
+    lines = F.col("lines")
+    level = lambda i: F.get(lines, i)["level"]
+    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (level(i) != level(i - 1))))
+    ends = lambda k: F.coalesce(F.get("starts", k + 1), F.size(lines))
+    passages = F.filter(F.transform("starts", lambda at, k: F.struct(at.alias("at"), ends(k).alias("end"))), lambda p: level(p["at"]) > 0)
+    quoted = F.flatten(F.transform(passages, lambda p: _units(F.slice(lines, p["at"] + 1, p["end"] - p["at"]), level(p["at"]))))
+    own = F.filter(lines, lambda x: x["level"] == 0)
+    body = F.btrim(F.array_join(F.transform(own, lambda x: x["body"]), "\n"), F.lit(_WHITE))
+    return rows.select(
+        "conv", "turn", "role", "text",
+        F.when(F.exists(lines, lambda x: x["level"] != 0), body).alias("own"),
+        F.array_distinct(quoted).alias("quoted"),
+        F.array_distinct(_units(own, F.lit(0))).alias("said"),
+    )
 
 
 def quoted_units(messages: DataFrame) -> DataFrame:
     """conv, turn, level, unit, weight of what messages quote."""
-    quoting = messages.filter(F.exists("lines", lambda x: x["level"] > 0)).withColumn("msg", F.xxhash64("conv", "turn", "role", "text"))
-    lines = quoting.select("conv", "turn", "msg", F.explode(F.filter("lines", lambda x: x["level"] > 0)).alias("x")).select("conv", "turn", "msg", "x.*")
-    # Lines of one level that follow each other have one difference of numbers.
-    island = F.col("no") - F.row_number().over(Window.partitionBy("conv", "turn", "msg", "level").orderBy("no"))
-    return _units(lines.withColumn("run", island), ["conv", "turn", "msg", "level"]).drop("msg").distinct()
+    return messages.select("conv", "turn", F.explode("quoted").alias("x")).select("conv", "turn", "x.*").distinct()
 
 
 def own_units(messages: DataFrame) -> DataFrame:
     """conv, turn, unit of what messages say themselves."""
-    keyed = messages.withColumn("msg", F.xxhash64("conv", "turn", "role", "text"))
-    lines = keyed.select("conv", "turn", "msg", F.explode(F.filter("lines", lambda x: x["level"] == 0)).alias("x")).select("conv", "turn", "msg", F.lit(0).alias("run"), "x.no", "x.body")
-    return _units(lines, ["conv", "turn", "msg"]).select("conv", "turn", "unit").distinct()
+    return messages.select("conv", "turn", F.explode("said").alias("x")).select("conv", "turn", "x.unit").distinct()
 
 
 def linked(quoted: DataFrame, own: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -120,7 +134,8 @@ def threads(parents: DataFrame) -> DataFrame:
         up = now.select(F.col("conv"), F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
         joined = now.join(up, ["conv", "root"], "left")
         stepped = joined.select("conv", "turn", "parent", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved"))
-        stepped = written(stepped, "replies")
+        before, stepped = now, written(stepped, "replies")
+        dropped(before)
         if stepped.filter("moved").isEmpty():
             return stepped.drop("moved")
         now = stepped.drop("moved")
@@ -140,16 +155,18 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     messages = written(parsed(conversations), "messages")
     ordered = messages.filter("conv is not null and turn is not null")
     links = written(linked(quoted_units(ordered), own_units(ordered)), "quotations")
-    found = threads(replies(links))
     counts = links.groupBy("conv", "turn").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("source").alias("n_linked"))
-    rows = messages.drop("lines").join(found, ["conv", "turn"], "left").join(counts, ["conv", "turn"], "left")
-    rows = rows.withColumn("root", F.coalesce("root", "turn")).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    order = [F.asc_nulls_last("root"), F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text"), F.asc("one")]
+    # Replies quote, so what is known of them has a row among the counts.
+    known = counts.join(threads(replies(links)), ["conv", "turn"], "left")
+    rows = messages.drop("quoted", "said").join(known, ["conv", "turn"], "left").withColumn("root", F.coalesce("root", "turn"))
+    order = [F.asc_nulls_last("root"), F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text")]
     ranged = written(rows.repartitionByRange(F.asc_nulls_last("conv"), *order).withColumn("pid", F.spark_partition_id()), "ranged")
+    dropped(messages, links)
     before = Window.partitionBy("conv").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     firsts = ranged.groupBy("conv", "pid").agg(F.count(F.lit(1)).alias("n")).select(F.col("conv").alias("c"), F.col("pid").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     numbered = ranged.withColumn("row", F.row_number().over(Window.partitionBy("pid", "conv").orderBy(*order)) - 1)
     placed = numbered.join(firsts, F.col("conv").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p")))
+    plain = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), F.lit(_WHITE))
     return placed.select(
         F.col("conv").alias("conv_id"),
         "turn",
@@ -160,7 +177,7 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
         F.col("parent").alias("reply_to"),
         F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"),
         F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
-        F.col("own").alias("text"),
+        F.coalesce("own", plain).alias("text"),
     )
 
 

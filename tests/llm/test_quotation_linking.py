@@ -67,3 +67,11 @@ def test_long_chain_and_nothing(spark):
     got = compare(spark, rows)
     assert max(r.depth for r in got) == 69 and {r.root_turn for r in got} == {0}
     assert Q.reply_ordered(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_lines(spark):
+    rows = [(1, 0, "user", "said\n" + "x " * 200_000), (1, 1, "user", "> said\n" + ">" * 1_000_000 + " deep\n" + " \t" * 200_000 + "y" + " " * 200_000 + "z\n" + "> " * 300_000), (2, 0, "user", "\n".join(["> said"] * 20_000))]
+    got = {(r.conv_id, r.turn): r for r in Q.reply_ordered(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 1].reply_to == 0 and got[1, 1].text.startswith("y ") and got[1, 1].text.endswith("z")
+    # one unit of 20,000 lines put together, and the line itself
+    assert (got[2, 0].n_quoted, got[2, 0].n_linked, got[2, 0].text) == (2, 0, "")

@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import _bpe
+from plumbline.llm._tables import lean, written
 
 #: Characters that a match may look ahead: a contraction has three.
 LOOK_AHEAD = 4
@@ -148,33 +149,36 @@ def _encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_c
         row = finish(ids, enc, texts)
         return pd.DataFrame({"text_key": [key[0]], **{c: [row[k]] for k, c in enumerate(names)}})
 
+    def cut_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text in zip(batch["text_key"], batch["text"]):
+                for at in range(0, len(text) - chunk, chunk * 64):
+                    starts = range(at, min(at + chunk * 64, len(text) - chunk), chunk)
+                    yield pd.DataFrame({"text_key": key, "chunk_no": [x // chunk for x in starts], "body": [text[x : x + chunk + overlap] for x in starts], "whole": [x + chunk + overlap >= len(text) for x in starts]})
+
+    def cut_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, text, cuts in zip(batch["text_key"], batch["text"], batch["cuts"]):
+                lows = [0, *(cuts if cuts is not None else ())]
+                highs = [*lows[1:], len(text)]
+                for i in range(0, len(lows), 64):
+                    yield pd.DataFrame({"text_key": key, "low": lows[i : i + 64], "piece": [text[a:b] for a, b in zip(lows[i : i + 64], highs[i : i + 64])]})
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.filter(F.length("text") <= chunk).mapInPandas(encode_short, f"doc long, {columns}")
+    short = rows.filter(F.length("text") <= chunk).mapInPandas(lean(encode_short), f"doc long, {columns}")
 
-    # Long texts are known by their hash from here on, so equal ones are encoded once.
+    # Long texts are known by their hash from here on, so equal ones are encoded
+    # once. A text is cut where it lies, so that no row but its own holds it whole.
     long_rows = rows.filter(F.length("text") > chunk).withColumn("text_key", F.sha2("text", 256))
-    long_texts = long_rows.select("text_key", "text").withColumn("n", F.length("text"))
-    last = F.floor((F.col("n") - 1) / chunk)
-    numbered = long_texts.select("text_key", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_no"))
-    at = (F.col("chunk_no") * chunk).cast("int")
-    chunks = numbered.select(
-        "text_key", "chunk_no", F.substring("text", at + 1, F.lit(chunk + overlap)).alias("body"), (at + chunk + overlap >= F.col("n")).alias("whole")
-    ).repartition("text_key", "chunk_no")
-    found = chunks.filter(F.length("body") > chunk).mapInPandas(find_cut, "text_key string, chunk_no long, cut long")
-    torn = F.min(F.when(F.col("cut").isNull(), F.col("chunk_no"))).over(Window.partitionBy("text_key"))
-    cuts = found.withColumn("torn", torn).filter("torn is null or chunk_no < torn").select("text_key", "cut").distinct()
-    # A text's pieces: from one stitch to the next; few rows a text.
-    ordered = Window.partitionBy("text_key").orderBy("low")
-    lows = cuts.select("text_key", F.col("cut").alias("low")).unionByName(long_texts.select("text_key", F.lit(0).cast("long").alias("low")).distinct()).distinct()
-    spans = lows.withColumn("high", F.lead("low").over(ordered))
-    width = F.coalesce(F.col("high"), F.col("n").cast("long")) - F.col("low")
-    pieces = (
-        long_texts.dropDuplicates(["text_key"])
-        .join(spans, "text_key")
-        .select("text_key", "low", F.substring("text", (F.col("low") + 1).cast("int"), width.cast("int")).alias("piece"))
-        .repartition("text_key", "low")
-    )
-    coded = pieces.mapInPandas(encode_pieces, "text_key string, low long, piece_ids binary")
+    long_texts = written(long_rows.groupBy("text_key").agg(F.first("text").alias("text")), "long-texts")
+    chunks = long_texts.mapInPandas(cut_chunks, "text_key string, chunk_no long, body string, whole boolean").repartition("text_key", "chunk_no")
+    found = chunks.mapInPandas(find_cut, "text_key string, chunk_no long, cut long")
+    # A text's stitches up to the first that is missing: one number a chunk.
+    listed = found.groupBy("text_key").agg(F.min(F.when(F.col("cut").isNull(), F.col("chunk_no"))).alias("torn"), F.array_sort(F.collect_list(F.struct("chunk_no", "cut"))).alias("all"))
+    sound = F.filter("all", lambda x: F.col("torn").isNull() | (x["chunk_no"] < F.col("torn")))
+    cuts = listed.select("text_key", F.array_sort(F.array_distinct(F.transform(sound, lambda x: x["cut"]))).alias("cuts"))
+    pieces = long_texts.join(cuts, "text_key", "left").mapInPandas(cut_pieces, "text_key string, low long, piece string").repartition("text_key", "low")
+    coded = pieces.mapInPandas(lean(encode_pieces), "text_key string, low long, piece_ids binary")
     joined = coded.groupBy("text_key").applyInPandas(join_pieces, f"text_key string, {columns}")
     long = long_rows.select("doc", "text_key").join(joined, "text_key").select("doc", *names)
     return short.unionByName(long).withColumnRenamed("doc", id_col)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,10 +134,16 @@ def _marked(name: str, attributes: str, parent: _Open) -> _Open:
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(level, text) of the page's blocks in order; white space is one space."""
     stack = [_Open("", False, False, PLAIN)]
+    opened: Counter[str] = Counter()  # names on the stack, so that an end tag without a start is no search
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     state, teasers = PLAIN, 0
 
+    def close_from(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.name] -= 1
+        del stack[k:]
+
     def close_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
@@ -172,10 +179,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             parts.append(" ")
             close_block()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+            if opened[name]:
+                close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name))
             continue
         attributes = m[3] or m[6] or ""
         if name in _RAW:
@@ -184,23 +189,24 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
             continue
         if name in _VOID:
             continue
-        if name not in _INLINE:
+        if name not in _INLINE and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k].name not in _INLINE:
                     break
-        if group := _SIBLINGS.get(name):
+        if (group := _SIBLINGS.get(name)) and any(opened[x] for x in group):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name in group:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k].name in _SCOPE:
                     break
         if not attributes.endswith("/") or name in ("div", "p", "span", "article", "section"):
             outer = stack[-1]
             stack.append(_opened(name, attributes, outer))
+            opened[name] += 1
             teasers += stack[-1].teaser and not outer.teaser
     close_block()
     # Several articles in such containers are cards of a list.

@@ -95,3 +95,15 @@ def test_hosts_repeats_go(spark, chunk_pages):
             assert plain[i] == t
     assert len(got) == len(want)
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_unclosed_and_unopened_tags_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        H.blocks_of("<div>" * n + "</x>" * n + "<b>" * n + "<div>a</div>" * n + "<span>" * n + "</i>" * n)
+        return time.process_time() - began
+
+    took(1_000)
+    assert took(16_000) < 12 * max(took(4_000), 0.05)

@@ -1,6 +1,7 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products.
 
-Centroids are fitted on a bounded sample (:data:`SAMPLE`), every vector is
+Equal vectors are one row with a weight before anything is compared, so a hot
+group of copies is a single row. Centroids are fitted on a bounded sample (:data:`SAMPLE`), every vector is
 placed in its nearest cell, and a cell is dealt into blocks of about ``block``
 rows, so that no task holds the cell. Each pair of blocks is one group, unless
 their cells are so far apart that no link can lead from one to the other: two
@@ -114,7 +115,8 @@ def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
 
 def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame:
     """(vec_id, n_links, low): partial link counts of vectors and, for each, the
-    smallest vector that this group's links lead to. ``units``: vec_id, unit."""
+    smallest vector that this group's links lead to. ``units``: vec_id, unit,
+    weight; a link counts as often as the weight of the other vector says."""
     sc = units.sparkSession.sparkContext
     total, width = units.agg(F.count(F.lit(1)), F.max(F.octet_length("unit"))).first()
     if not total:
@@ -131,10 +133,10 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
         for batch in batches:
             s = _padded(batch["unit"].tolist(), width) @ c.T
             cell = s.argmax(1)
-            yield pd.DataFrame({"cell": cell, "near": s[np.arange(len(s)), cell], "vec_id": batch["vec_id"], "unit": batch["unit"]})
+            yield pd.DataFrame({"cell": cell, "near": s[np.arange(len(s)), cell], "vec_id": batch["vec_id"], "unit": batch["unit"], "weight": batch["weight"]})
 
     # Vectors of unlike length never meet: the length is part of the cell.
-    placed = written(units.mapInPandas(place, "cell int, near double, vec_id long, unit binary").withColumn("dim", F.octet_length("unit")), "cells")
+    placed = written(units.mapInPandas(place, "cell int, near double, vec_id long, unit binary, weight long").withColumn("dim", F.octet_length("unit")), "cells")
     # One row a cell, MOST_CELLS for each vector length.
     sizes = placed.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("near").alias("near"))
     count, angle = {}, np.zeros(len(centres.value))
@@ -148,22 +150,22 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
         count, _, near = cells.value
         group = group.sort_values("vec_id")
         partners = [d << 32 | b for d in np.flatnonzero(near[cell]).tolist() for b in range(count.get((dim, d), 0))]
-        packed = {"dim": dim, "own": cell << 32 | own, "partners": [partners], "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "units": b"".join(group["unit"])}
+        packed = {"dim": dim, "own": cell << 32 | own, "partners": [partners], "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "weights": group["weight"].to_numpy(np.int64).tobytes(), "units": b"".join(group["unit"])}
         return pd.DataFrame(packed)
 
     sized = placed.join(F.broadcast(sizes.select("cell", "dim", "blocks")), ["cell", "dim"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    packed = sized.select("cell", "dim", "own", "vec_id", "unit").groupBy("cell", "dim", "own").applyInPandas(pack, "dim int, own long, partners array<long>, ids binary, units binary")
-    dealt = written(packed, "blocks").select("dim", "own", "ids", "units", F.explode("partners").alias("other")).select(
-        "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "units"
+    packed = sized.select("cell", "dim", "own", "vec_id", "unit", "weight").groupBy("cell", "dim", "own").applyInPandas(pack, "dim int, own long, partners array<long>, ids binary, weights binary, units binary")
+    dealt = written(packed, "blocks").select("dim", "own", "ids", "weights", "units", F.explode("partners").alias("other")).select(
+        "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "weights", "units"
     )
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         dim, i, j = map(int, key)
         none = pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
-        sides = {own: (np.frombuffer(a, np.int64), np.frombuffer(u, np.float64).reshape(-1, dim // 8)) for own, a, u in zip(group["own"], group["ids"], group["units"])}
+        sides = {own: (np.frombuffer(a, np.int64), np.frombuffer(w, np.int64), np.frombuffer(u, np.float64).reshape(-1, dim // 8)) for own, a, w, u in zip(group["own"], group["ids"], group["weights"], group["units"])}
         if i not in sides or j not in sides:  # a block that no row was dealt to
             return none
-        (a, x), (b, y) = sides[i], sides[j]
+        (a, v, x), (b, w, y) = sides[i], sides[j]
         if i >> 32 != j >> 32:
             # Rows out of reach of the other block's cell have no links there.
             _, angle, _ = cells.value
@@ -172,7 +174,7 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
             for z, cell in ((x, j >> 32), (y, i >> 32)):
                 s = z @ centres.value[cell, : dim // 8]
                 near.append(np.arccos(np.clip(s, -1, 1)) <= angle[cell] + widest)
-            a, x, b, y = a[near[0]], x[near[0]], b[near[1]], y[near[1]]
+            a, v, x, b, w, y = a[near[0]], v[near[0]], x[near[0]], b[near[1]], w[near[1]], y[near[1]]
         out = [none]
         for at in range(0, len(a), TILE_ROWS):
             own = a[at : at + TILE_ROWS]
@@ -184,7 +186,7 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
             p, q = np.nonzero(hit)
             if not len(p):
                 continue
-            count = pd.concat([pd.Series(hit.sum(1), own), pd.Series(hit.sum(0), other)]).groupby(level=0).sum()
+            count = pd.concat([pd.Series(hit @ w[: len(other)], own), pd.Series(v[at : at + TILE_ROWS] @ hit, other)]).groupby(level=0).sum()
             ids, low = forest(own[p], other[q])
             out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy(), "low": low}))
         return pd.concat(out)
@@ -201,15 +203,23 @@ def near_duplicates(
     least of its vectors counts (repeated rows are thus one); a null id is
     dropped; a vector that is null, empty or zero, or holds null or non-finite
     components links with nothing; vectors of unlike length do not link; ties
-    at the threshold link; an empty table gives an empty one.
+    at the threshold link; an empty table gives an empty one; a threshold
+    above 1 is an error.
     """
+    if threshold > 1:
+        raise ValueError("a cosine is 1 at most")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).filter("vec_id is not null")
     units = rows.mapInArrow(_to_units, "vec_id long, unit binary").groupBy("vec_id").agg(F.min("unit").alias("unit"))
-    units = written(units, "units")
-    links = written(linked_in_cells(units.filter("unit is not null"), threshold, block), "vector-links")
+    units = written(units.withColumn("same", F.md5("unit")), "units")
+    # Of equal vectors the one of the smallest id stands for all.
+    distinct = written(units.filter("unit is not null").groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.first("unit").alias("unit"), F.count(F.lit(1)).alias("weight")), "distinct-units")
+    links = written(linked_in_cells(distinct.drop("same"), threshold, block), "vector-links")
     counts = links.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     found = components(links, "vec_id", "low").withColumnRenamed("id", "vec_id")
-    out = units.select("vec_id").join(counts, "vec_id", "left").join(found, "vec_id", "left")
+    stands = distinct.select("same", "vec_id", "weight").join(counts, "vec_id", "left").join(found, "vec_id", "left")
+    more = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1  # copies link with each other
+    stands = stands.select("same", more.alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = units.select("vec_id", "same").join(stands, "same", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 

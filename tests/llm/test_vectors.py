@@ -137,3 +137,15 @@ def test_components(spark):
             parent[y] = x
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_copies_and_a_tie_at_the_threshold(spark):
+    from plumbline.llm.embedding_dedup import near_duplicates
+
+    # (1, 0), (0.9, sqrt(0.19)) and copies of both; 3-4-5 vectors tie at exactly 0.8.
+    rows = [(i, [1.0, 0.0, 0.0]) for i in range(40)] + [(100 + i, [4.0, 3.0, 0.0]) for i in range(30)] + [(200, [0.0, 0.0, 2.0]), (201, [0.0, 0.0, 0.0]), (202, None)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.8, 16).collect()}
+    assert got[0] == (69, 0, True) and got[39] == (69, 0, False) and got[129] == (69, 0, False)
+    assert got[200] == (0, 200, True) and got[201] == (0, 201, True) and got[202] == (0, 202, True)
+    apart = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.81, 16).collect()}
+    assert apart[3] == (39, 0) and apart[105] == (29, 100)

@@ -93,3 +93,20 @@ def test_prefix_length_keeps_every_link():
 def test_spanning_forest_is_least():
     p, q, far = np.array([0, 1, 0, 3, 2]), np.array([1, 2, 2, 4, 2]), np.array([5, 1, 2, 9, 0])
     assert sorted(J.spanning(p, q, far, 6).tolist()) == [1, 2, 3]
+
+
+def test_sets_of_one_hash_are_told_apart_by_the_other(spark):
+    columns = "doc long, n long, class long, `check` long"
+    table = spark.createDataFrame([(1, 3, 7, 1), (2, 3, 7, 2), (3, 3, 7, 1), (4, 2, 8, 1), (5, 0, None, None)], columns)
+    got = {r.doc: r["class"] for r in J.told_apart(table).collect()}
+    assert got[1] == got[3] != got[2] and got[4] == 8 and got[5] is None
+    assert J.told_apart(table.filter("doc <> 2")).filter("class = 7").count() == 2
+
+
+def test_sizes_that_may_link_are_in_bands_next_to_each_other(spark):
+    from pyspark.sql import functions as F
+
+    for percent in (80, 90):
+        rows = [(n, -(-percent * n // 100)) for n in range(1, 3000)]
+        bands = spark.createDataFrame(rows, "n long, least long").select(J.band_of(F.col("n"), percent).alias("a"), J.band_of(F.col("least"), percent).alias("b"))
+        assert bands.filter("a - b not in (0, 1)").isEmpty()

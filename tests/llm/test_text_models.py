@@ -127,3 +127,11 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     least = worth(w, b)
     for _ in range(200):
         assert worth(w + np.pad(r.normal(size=50) * 0.01, (0, len(w) - 50)), b + r.normal() * 0.01) >= least - 1e-3
+
+
+def test_more_languages_than_a_byte_holds():
+    from plumbline.llm import language_id
+
+    scores = np.zeros((6, 300), np.float32)
+    scores[:3, 299], scores[3:, 128] = 50, 50
+    assert language_id.viterbi(scores, np.array([0, 6])).tolist() == [299] * 3 + [128] * 3

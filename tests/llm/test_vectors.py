@@ -39,6 +39,34 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute_top(rows, 5)
 
 
+def test_top_k_over_many_cells_trees_and_lots(spark, monkeypatch):
+    for name, value in {"TREE_ROWS": 20, "BLOCK_ROWS": 8, "LOT_BLOCKS": 2, "SAMPLE_ROWS": 120, "MOST_CELLS": 9}.items():
+        monkeypatch.setattr(metric_search, name, value)
+    r = np.random.default_rng(5)
+    groups = r.normal(size=(12, 6)) * 20
+    x = (groups[r.integers(0, 12, 500)] + r.normal(size=(500, 6))).astype(np.float32)
+    x[100:260] = x[100]  # a third of all rows are copies: one cell, many trees, ties
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + ODD
+    got = metric_search.top_k(spark.createDataFrame(rows, SCHEMA), "vec_id % 5 = 0").collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 5)
+
+
+def test_top_k_of_huge_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (5, [1e18, 1.0]), (10, [1.0, 2.0]), (11, [1e18, 3.0]), (12, [-1e18, 0.0])]
+    got = metric_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 5 = 0", 2).collect()
+    assert {(g.query_id, g["rank"], g.vec_id, g.score) for g in got if g.query_id == 5} == {(5, 1, 11, 2**63 - 1), (5, 2, 10, 2**63 - 1)}
+    assert not [g for g in got if 0 in (g.query_id, g.vec_id)]
+
+
+def test_spread_pivots_and_their_bounds():
+    r = np.random.default_rng(8)
+    x = np.floor(np.concatenate([c + r.normal(size=(50, 5)) for c in np.eye(5) * 500]))
+    most = float((x**2).sum(1).max())
+    pivots = metric_search.spread(x, 5, most)
+    assert sorted(p.argmax() for p in pivots) == [0, 1, 2, 3, 4]
+    assert len(metric_search.spread(np.repeat(x[:1], 9, 0), 4, most)) == 1
+
+
 def test_top_k_few_and_none(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     assert sorted(map(tuple, metric_search.top_k(df, "vec_id % 5 = 0").collect())) == brute_top(ODD, 5)

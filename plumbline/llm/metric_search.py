@@ -127,6 +127,13 @@ def spread(rows: np.ndarray, count: int, most: float) -> np.ndarray:
     return rows[chosen]
 
 
+def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[float, int]]:
+    """(-score, id) of the k best, ties to the smaller id."""
+    some = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+    some = some[np.lexsort((ids[some], -scores[some]))[:k]]
+    return list(zip((-scores[some]).tolist(), ids[some].tolist()))
+
+
 def search(root: Page, root_row: np.ndarray, q: np.ndarray, q_id: int, k: int, mark: float, most: float, exact_floats: bool, radius: float = np.inf) -> list[tuple[int, int]]:
     """(score, id) of the k best of the tree, ties to the smaller id; those
     below ``mark`` may be left out. ``radius``: covering radius of the root."""
@@ -148,8 +155,16 @@ def search(root: Page, root_row: np.ndarray, q: np.ndarray, q_id: int, k: int, m
         gap = np.abs(d_parent - page.to_parent)
         if page.ids is not None:
             open_ = np.flatnonzero((gap <= limit) & (page.ids != q_id))
-            for score, i in zip(products(page.rows[open_], q, exact_floats).tolist(), page.ids[open_].tolist()):
-                item = (score, -i)
+            found, ids = products(page.rows[open_], q, exact_floats), page.ids[open_]
+            if len(best) == k:
+                some = np.flatnonzero(found >= best[0][0])
+                found, ids = found[some], ids[some]
+            if len(ids) > 2 * k and exact_floats:
+                first = _first(found, ids, k)
+            else:
+                first = sorted(zip((-found).tolist(), ids.tolist()))[:k]
+            for score, i in first:
+                item = (-score, -i)
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:

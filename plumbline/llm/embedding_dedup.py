@@ -1,15 +1,18 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products.
 
 Equal vectors are one row with a weight before anything is compared, so a hot
-group of copies is a single row. Centroids are fitted on a bounded sample (:data:`SAMPLE`), every vector is
-placed in its nearest cell, and a cell is dealt into blocks of about ``block``
-rows, so that no task holds the cell. Each pair of blocks is one group, unless
-their cells are so far apart that no link can lead from one to the other: two
-unit vectors at the threshold are arccos(threshold) apart, so by the triangle
-inequality cells whose centroids are further apart than that and both covering
-angles have no link. The same bound thins out the rows of a group. What it does
-not rule out is compared, so the result is exact. Where vectors fill the sphere
-evenly it rules out nothing, and the products grow with the square of the rows.
+group of copies is a single row. Cells have two levels, each with centroids that
+are fitted on a bounded sample (:data:`SAMPLE`, :data:`PART_SAMPLE`): a vector
+goes to its nearest cell, and there to its nearest part, so the number of parts
+grows with the rows (up to :data:`MOST_CELLS` squared, about eight thousand
+million rows). A part is dealt into blocks of about ``block`` rows, so that no
+task holds a cell or a part. Each pair of blocks is one group, unless their parts are so far apart
+that no link can lead from one to the other: two unit vectors at the threshold
+are arccos(threshold) apart, so by the triangle inequality cells or parts whose
+centroids are further apart than that and both covering angles have no link.
+The same bound thins out the rows of a group. What it does not rule out is
+compared, so the result is exact. Where vectors fill the sphere evenly it rules
+out nothing, and the products grow with the square of the rows.
 
 A group yields rows for the vectors that have links there: their number, and
 the smallest vector its links lead to. Pairs themselves are never written.
@@ -30,8 +33,9 @@ from plumbline.llm.components import components, forest
 
 #: At most about so many vectors are used to fit the centroids.
 SAMPLE = 32_768
-#: Vectors a cell should hold, and the most cells there are.
-CELL_ROWS, MOST_CELLS = 8_192, 1_024
+#: Vectors a cell should hold, the most cells there are and parts of a cell, and
+#: vectors for each part that fit the centroids of a cell's parts.
+CELL_ROWS, MOST_CELLS, PART_SAMPLE = 8_192, 1_024, 32
 #: Rows of a block that are compared with the other block at once.
 TILE_ROWS = 512
 #: Slack of the bounds on angles, far above their rounding.
@@ -94,10 +98,12 @@ def _padded(units: list[bytes], width: int) -> np.ndarray:
     return x
 
 
-def reach(centres: np.ndarray, angles: np.ndarray, threshold: float) -> np.ndarray:
-    """Whether a link can lead from one cell to another, by their covering angles."""
-    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))
-    return apart <= angles[:, None] + angles + np.arccos(np.clip(threshold, -1, 1)) + SLACK
+def reach(centres: np.ndarray, angles: np.ndarray, threshold: float, others: np.ndarray | None = None, their: np.ndarray | None = None) -> np.ndarray:
+    """Whether a link can lead from one cell to another (or to ``others``), by
+    their covering angles."""
+    others, their = (centres, angles) if others is None else (others, their)
+    apart = np.arccos(np.clip(centres @ others.T, -1, 1))
+    return apart <= angles[:, None] + their + np.arccos(np.clip(threshold, -1, 1)) + SLACK
 
 
 def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -138,43 +144,103 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
     # Vectors of unlike length never meet: the length is part of the cell.
     placed = written(units.mapInPandas(place, "cell int, near double, vec_id long, unit binary, weight long").withColumn("dim", F.octet_length("unit")), "cells")
     # One row a cell, MOST_CELLS for each vector length.
-    sizes = placed.groupBy("cell", "dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("near").alias("near"))
-    count, angle = {}, np.zeros(len(centres.value))
-    for r in sizes.collect():
-        count[r.dim, r.cell] = r.blocks
+    sizes = placed.groupBy("cell", "dim").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("near")).collect()
+    angle = np.zeros(len(centres.value))
+    for r in sizes:
         angle[r.cell] = max(angle[r.cell], np.arccos(np.clip(r.near, -1, 1)))
-    cells = sc.broadcast((count, angle, reach(centres.value, angle, threshold)))
+    near = reach(centres.value, angle, threshold)
+    near |= near.T
+    known = []
+    for r in sizes:
+        lots = -(-r.n // block)
+        parts = min(MOST_CELLS, max(1, r.n // block))
+        others = [x.cell for x in sizes if x.dim == r.dim and near[r.cell, x.cell]]
+        known.append((r.cell, r.dim, lots, parts, int(min(1.0, parts * PART_SAMPLE / r.n) * (1 << 30)), others))
+    cells = units.sparkSession.createDataFrame(known, "cell int, dim int, lots int, parts int, share int, others array<int>")
+    dealt = placed.join(F.broadcast(cells.drop("others")), ["cell", "dim"])
+    columns = ["dim", "cell", "part", "near", "vec_id", "unit", "weight"]
+    settled = dealt.filter("parts = 1").withColumn("part", F.lit(0)).select(columns)
+
+    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        c = fit_centroids(_padded(group["unit"].tolist(), width), int(group["parts"].iloc[0]))
+        return pd.DataFrame({"cell": [key[0]], "dim": [key[1]], "centres": [c.tobytes()]})
+
+    # At most MOST_CELLS * PART_SAMPLE rows a cell; a cell of one part has its own centroid.
+    few = dealt.filter((F.col("parts") > 1) & (F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(1 << 30)) <= F.col("share")))
+    fitted = few.select("cell", "dim", "parts", "vec_id", "unit").groupBy("cell", "dim").applyInPandas(fit, "cell int, dim int, centres binary")
+    split = any(parts > 1 for _, _, _, parts, _, _ in known)
+    model = cells.select("cell", "dim", "lots", "parts", "others")
+    model = written(model.join(fitted, ["cell", "dim"], "left"), "cell-parts") if split else model.withColumn("centres", F.lit(None).cast("binary"))
+
+    def centres_of(cell: int, packed: bytes | None) -> np.ndarray:
+        return centres.value[cell][None] if packed is None else np.frombuffer(packed, np.float64).reshape(-1, width)
+
+    def settle(key: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        cell, dim, _ = map(int, key)
+        if not len(rows):  # a lot that no row was dealt to
+            return pd.DataFrame({name: [] for name in columns})
+        s = _padded(rows["unit"].tolist(), width) @ centres_of(cell, own["centres"].iloc[0]).T
+        part = s.argmax(1)
+        return pd.DataFrame({"dim": dim, "cell": cell, "part": part, "near": s[np.arange(len(s)), part], "vec_id": rows["vec_id"], "unit": rows["unit"], "weight": rows["weight"]})
+
+    if split:
+        lots = dealt.filter("parts > 1").withColumn("lot", F.pmod(F.xxhash64("vec_id"), F.col("lots")).cast("int"))
+        models = model.filter("parts > 1").select("cell", "dim", "centres", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+        key = ["cell", "dim", "lot"]
+        parted = lots.select("cell", "dim", "lot", "vec_id", "unit", "weight").groupBy(*key).cogroup(models.groupBy(*key)).applyInPandas(settle, "dim int, cell int, part int, near double, vec_id long, unit binary, weight long")
+        settled = settled.unionByName(written(parted, "settled"))
+    counted = settled.groupBy("dim", "cell", "part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.min("near").alias("near"))
+    parts = written(counted.groupBy("dim", "cell").agg(F.sort_array(F.collect_list(F.struct("part", "blocks", "near"))).alias("parts")).join(model.drop("parts"), ["dim", "cell"]), "parts")  # MOST_CELLS parts a row at most
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of parts of two cells that a link can join."""
+        sides = []
+        for r in group.itertuples():
+            no = np.array([p["part"] for p in r.parts])
+            close = np.array([p["near"] for p in r.parts])
+            sides.append((r.cell << 10 | no, np.array([p["blocks"] for p in r.parts]), centres_of(r.cell, r.centres)[no], np.arccos(np.clip(close, -1, 1))))
+        (a, m, x, u), (b, n, y, v) = sides[0], sides[-1]
+        p, q = np.nonzero(reach(x, u, threshold, y, v) & ((len(sides) == 2) | (a[:, None] <= b)))
+        return pd.DataFrame({"dim": int(key[0]), "a": a[p], "b": b[q], "m": m[p], "n": n[q], "ca": [c.tobytes() for c in x[p]], "cb": [c.tobytes() for c in y[q]], "ua": u[p], "ub": v[q]})
+
+    sides = parts.select("dim", "cell", "centres", "parts", F.explode("others").alias("other"))
+    by_pair = sides.groupBy("dim", F.least("cell", "other").alias("c"), F.greatest("cell", "other").alias("d"))
+    pairs = by_pair.applyInPandas(meet, "dim int, a long, b long, m int, n int, ca binary, cb binary, ua double, ub double")
+    code = lambda part, no: F.shiftleft(F.col(part), 32).bitwiseOR(F.col(no).cast("long"))
+    pairs = pairs.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    pairs = pairs.withColumn("start", F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(0))
+    pairs = pairs.withColumn("q", F.explode(F.sequence(F.col("start"), F.col("n") - 1)))
+    pairs = pairs.select("dim", code("a", "p").alias("i"), code("b", "q").alias("j"), "ca", "cb", "ua", "ub")
+    # The centroid and covering angle of the other side go with each block.
+    first = F.struct(F.col("i").alias("own"), F.col("cb").alias("centre"), F.col("ub").alias("angle"))
+    second = F.struct(F.col("j").alias("own"), F.col("ca").alias("centre"), F.col("ua").alias("angle"))
+    asked = pairs.select("dim", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(first)).otherwise(F.array(first, second))).alias("x")).select("dim", "i", "j", "x.*")
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        cell, dim, own = map(int, key)
-        count, _, near = cells.value
         group = group.sort_values("vec_id")
-        partners = [d << 32 | b for d in np.flatnonzero(near[cell]).tolist() for b in range(count.get((dim, d), 0))]
-        packed = {"dim": dim, "own": cell << 32 | own, "partners": [partners], "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "weights": group["weight"].to_numpy(np.int64).tobytes(), "units": b"".join(group["unit"])}
-        return pd.DataFrame(packed)
+        packed = {"dim": key[0], "own": key[1], "ids": group["vec_id"].to_numpy(np.int64).tobytes(), "weights": group["weight"].to_numpy(np.int64).tobytes(), "units": b"".join(group["unit"])}
+        return pd.DataFrame({name: [value] for name, value in packed.items()})
 
-    sized = placed.join(F.broadcast(sizes.select("cell", "dim", "blocks")), ["cell", "dim"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    packed = sized.select("cell", "dim", "own", "vec_id", "unit", "weight").groupBy("cell", "dim", "own").applyInPandas(pack, "dim int, own long, partners array<long>, ids binary, weights binary, units binary")
-    dealt = written(packed, "blocks").select("dim", "own", "ids", "weights", "units", F.explode("partners").alias("other")).select(
-        "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "ids", "weights", "units"
-    )
+    sized = settled.join(counted.drop("near"), ["dim", "cell", "part"])
+    sized = sized.withColumn("part", F.shiftleft(F.col("cell").cast("long"), 10).bitwiseOR(F.col("part").cast("long"))).withColumn("no", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    packed = sized.select("dim", code("part", "no").alias("own"), "vec_id", "unit", "weight").groupBy("dim", "own").applyInPandas(pack, "dim int, own long, ids binary, weights binary, units binary")
+    both = written(packed, "blocks").join(asked, ["dim", "own"])
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         dim, i, j = map(int, key)
         none = pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
-        sides = {own: (np.frombuffer(a, np.int64), np.frombuffer(w, np.int64), np.frombuffer(u, np.float64).reshape(-1, dim // 8)) for own, a, w, u in zip(group["own"], group["ids"], group["weights"], group["units"])}
+        sides = {}
+        widest = np.arccos(np.clip(threshold, -1, 1)) + SLACK
+        for r in group.itertuples():
+            ids, weights, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.weights, np.int64), np.frombuffer(r.units, np.float64).reshape(-1, dim // 8)
+            # Rows out of reach of the other block's part have no links there.
+            s = x @ np.frombuffer(r.centre, np.float64)[: dim // 8]
+            near = np.arccos(np.clip(s, -1, 1)) <= r.angle + widest
+            sides[r.own] = ids[near], weights[near], x[near]
         if i not in sides or j not in sides:  # a block that no row was dealt to
             return none
         (a, v, x), (b, w, y) = sides[i], sides[j]
-        if i >> 32 != j >> 32:
-            # Rows out of reach of the other block's cell have no links there.
-            _, angle, _ = cells.value
-            widest = np.arccos(np.clip(threshold, -1, 1)) + SLACK
-            near = []
-            for z, cell in ((x, j >> 32), (y, i >> 32)):
-                s = z @ centres.value[cell, : dim // 8]
-                near.append(np.arccos(np.clip(s, -1, 1)) <= angle[cell] + widest)
-            a, v, x, b, w, y = a[near[0]], v[near[0]], x[near[0]], b[near[1]], w[near[1]], y[near[1]]
         out = [none]
         for at in range(0, len(a), TILE_ROWS):
             own = a[at : at + TILE_ROWS]
@@ -191,7 +257,7 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
             out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy(), "low": low}))
         return pd.concat(out)
 
-    return dealt.groupBy("dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")
+    return both.groupBy("dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")
 
 
 def near_duplicates(

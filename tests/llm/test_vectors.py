@@ -107,7 +107,7 @@ def brute_links(rows, threshold):
     return sorted((i, len(links[i]), comp[i], comp[i] == i) for i in ids)
 
 
-@pytest.mark.parametrize("cell_rows,block", [(10_000, 64), (60, 16)])
+@pytest.mark.parametrize("cell_rows,block", [(10_000, 64), (60, 16), (250, 8)])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, cell_rows, block):
     monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell_rows)
     rows = make(400, 24) + ODD + make(2, 24)
@@ -115,8 +115,10 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, cell_rows, bloc
     assert sorted(map(tuple, got)) == brute_links(rows, 0.9)
 
 
-def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 16)
+@pytest.mark.parametrize("cell_rows,block", [(16, 8_192), (200, 32)])
+def test_no_link_is_lost_with_many_cells(spark, monkeypatch, cell_rows, block):
+    monkeypatch.setattr(embedding_dedup, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(embedding_dedup, "PART_SAMPLE", 6)
     monkeypatch.setattr(embedding_dedup, "SAMPLE", 128)
     r = np.random.default_rng(7)
     x = r.normal(size=(800, 64))
@@ -126,7 +128,7 @@ def test_no_link_is_lost_with_many_cells(spark, monkeypatch):
     y /= np.sqrt((y**2).sum(1))[:, None]
     partners = 0.9005 * x + np.sqrt(1 - 0.9005**2) * y
     rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, partners]).astype(np.float32))]
-    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), block=block).collect()
     assert sorted(map(tuple, got)) == brute_links(rows, 0.9)
     assert sum(g.n_links > 0 for g in got) == 1600
 

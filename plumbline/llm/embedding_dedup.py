@@ -106,17 +106,18 @@ def reach(centres: np.ndarray, angles: np.ndarray, threshold: float, others: np.
     return apart <= angles[:, None] + their + np.arccos(np.clip(threshold, -1, 1)) + SLACK
 
 
-def _hits(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which products reach the threshold: in single precision, and in double
-    where that is too close to tell."""
-    s = x.astype(np.float32) @ y.astype(np.float32).T
+def _hits(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose products reach the threshold: in single precision (``x32``,
+    ``y32``), and in double where that is too close to tell."""
+    s = x32 @ y32.T
     slack = (x.shape[1] + 4) * 2.0**-23
-    hit = s >= threshold + slack
-    p, q = np.nonzero((s >= threshold - slack) & ~hit)
-    for at in range(0, len(p), 1 << 16):
-        a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-        hit[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
-    return hit
+    p, q = np.nonzero(s >= np.float32(threshold - slack))
+    sure = s[p, q] >= threshold + slack
+    close = np.flatnonzero(~sure)
+    for at in range(0, len(close), 1 << 16):
+        some = close[at : at + (1 << 16)]
+        sure[some] = np.einsum("ij,ij->i", x[p[some]], y[q[some]]) >= threshold
+    return p[sure], q[sure]
 
 
 def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -242,19 +243,24 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
             return none
         (a, v, x), (b, w, y) = sides[i], sides[j]
         out = [none]
+        x32, y32 = x.astype(np.float32), y.astype(np.float32)
         for at in range(0, len(a), TILE_ROWS):
-            own = a[at : at + TILE_ROWS]
+            end = at + TILE_ROWS
+            own = a[at:end]
             # Of a block with itself, each pair once: the rows up to this tile's end.
             other = b[: at + len(own)] if i == j else b
-            hit = _hits(x[at : at + len(own)], y[: len(other)], threshold)
+            p, q = _hits(x[at:end], y[: len(other)], x32[at:end], y32[: len(other)], threshold)
             if i == j:
-                hit &= np.arange(len(other)) < at + np.arange(len(own))[:, None]
-            p, q = np.nonzero(hit)
+                once = q < at + p
+                p, q = p[once], q[once]
             if not len(p):
                 continue
-            count = pd.concat([pd.Series(hit @ w[: len(other)], own), pd.Series(v[at : at + TILE_ROWS] @ hit, other)]).groupby(level=0).sum()
+            # Sums of weights are whole numbers far below 2**53.
+            to_own = np.bincount(p, w[q], len(own))
+            to_other = np.bincount(q, v[at:end][p], len(other))
+            count = pd.concat([pd.Series(to_own, own), pd.Series(to_other, other)]).groupby(level=0).sum()
             ids, low = forest(own[p], other[q])
-            out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy(), "low": low}))
+            out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy().astype(np.int64), "low": low}))
         return pd.concat(out)
 
     return both.groupBy("dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm._tables import written
@@ -38,6 +38,8 @@ SAMPLE = 32_768
 CELL_ROWS, MOST_CELLS, PART_SAMPLE = 8_192, 1_024, 32
 #: Rows of a block that are compared with the other block at once.
 TILE_ROWS = 512
+#: Blocks that meet one block in a task.
+LOT_BLOCKS = 4
 #: Slack of the bounds on angles, far above their rounding.
 SLACK = 1e-6
 
@@ -120,6 +122,31 @@ def _hits(x: np.ndarray, y: np.ndarray, x32: np.ndarray, y32: np.ndarray, thresh
     return p[sure], q[sure]
 
 
+def _links(a: np.ndarray, v: np.ndarray, x: np.ndarray, b: np.ndarray, w: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> list[pd.DataFrame]:
+    """Link counts and smallest partners of two blocks (ids, weights, units), or
+    of a block with itself."""
+    out = []
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    for at in range(0, len(a), TILE_ROWS):
+        end = at + TILE_ROWS
+        own = a[at:end]
+        # Of a block with itself, each pair once: the rows up to this tile's end.
+        other = b[: at + len(own)] if same else b
+        p, q = _hits(x[at:end], y[: len(other)], x32[at:end], y32[: len(other)], threshold)
+        if same:
+            once = q < at + p
+            p, q = p[once], q[once]
+        if not len(p):
+            continue
+        # Sums of weights are whole numbers far below 2**53.
+        to_own = np.bincount(p, w[q], len(own))
+        to_other = np.bincount(q, v[at:end][p], len(other))
+        count = pd.concat([pd.Series(to_own, own), pd.Series(to_other, other)]).groupby(level=0).sum()
+        ids, low = forest(own[p], other[q])
+        out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy().astype(np.int64), "low": low}))
+    return out
+
+
 def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame:
     """(vec_id, n_links, low): partial link counts of vectors and, for each, the
     smallest vector that this group's links lead to. ``units``: vec_id, unit,
@@ -213,10 +240,12 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
     pairs = pairs.withColumn("start", F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(0))
     pairs = pairs.withColumn("q", F.explode(F.sequence(F.col("start"), F.col("n") - 1)))
     pairs = pairs.select("dim", code("a", "p").alias("i"), code("b", "q").alias("j"), "ca", "cb", "ua", "ub")
-    # The centroid and covering angle of the other side go with each block.
-    first = F.struct(F.col("i").alias("own"), F.col("cb").alias("centre"), F.col("ub").alias("angle"))
-    second = F.struct(F.col("j").alias("own"), F.col("ca").alias("centre"), F.col("ua").alias("angle"))
-    asked = pairs.select("dim", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(first)).otherwise(F.array(first, second))).alias("x")).select("dim", "i", "j", "x.*")
+    # A block goes once to each lot of its partners; of the partners, the block itself comes first.
+    pairs = pairs.withColumn("no", F.row_number().over(Window.partitionBy("dim", "i").orderBy("j")) - 1)
+    bounds = ["ca", "ua", "cb", "ub"]
+    once = F.when(F.col("no") % LOT_BLOCKS == 0, F.struct(F.col("i").alias("own"), *[F.lit(None).cast("double" if c[0] == "u" else "binary").alias(c) for c in bounds]))
+    partner = F.when(F.col("i") != F.col("j"), F.struct(F.col("j").alias("own"), *bounds))
+    asked = pairs.select("dim", "i", F.floor(F.col("no") / LOT_BLOCKS).alias("lot"), F.explode(F.array_compact(F.array(once, partner))).alias("x")).select("dim", "i", "lot", "x.*")
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
@@ -228,42 +257,33 @@ def linked_in_cells(units: DataFrame, threshold: float, block: int) -> DataFrame
     packed = sized.select("dim", code("part", "no").alias("own"), "vec_id", "unit", "weight").groupBy("dim", "own").applyInPandas(pack, "dim int, own long, ids binary, weights binary, units binary")
     both = written(packed, "blocks").join(asked, ["dim", "own"])
 
+    widest = np.arccos(np.clip(threshold, -1, 1)) + SLACK
+
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        dim, i, j = map(int, key)
-        none = pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")
-        sides = {}
-        widest = np.arccos(np.clip(threshold, -1, 1)) + SLACK
-        for r in group.itertuples():
-            ids, weights, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.weights, np.int64), np.frombuffer(r.units, np.float64).reshape(-1, dim // 8)
-            # Rows out of reach of the other block's part have no links there.
-            s = x @ np.frombuffer(r.centre, np.float64)[: dim // 8]
-            near = np.arccos(np.clip(s, -1, 1)) <= r.angle + widest
-            sides[r.own] = ids[near], weights[near], x[near]
-        if i not in sides or j not in sides:  # a block that no row was dealt to
-            return none
-        (a, v, x), (b, w, y) = sides[i], sides[j]
-        out = [none]
-        x32, y32 = x.astype(np.float32), y.astype(np.float32)
-        for at in range(0, len(a), TILE_ROWS):
-            end = at + TILE_ROWS
-            own = a[at:end]
-            # Of a block with itself, each pair once: the rows up to this tile's end.
-            other = b[: at + len(own)] if i == j else b
-            p, q = _hits(x[at:end], y[: len(other)], x32[at:end], y32[: len(other)], threshold)
-            if i == j:
-                once = q < at + p
-                p, q = p[once], q[once]
-            if not len(p):
-                continue
-            # Sums of weights are whole numbers far below 2**53.
-            to_own = np.bincount(p, w[q], len(own))
-            to_other = np.bincount(q, v[at:end][p], len(other))
-            count = pd.concat([pd.Series(to_own, own), pd.Series(to_other, other)]).groupby(level=0).sum()
-            ids, low = forest(own[p], other[q])
-            out.append(pd.DataFrame({"vec_id": ids, "n_links": count.reindex(ids).to_numpy().astype(np.int64), "low": low}))
+        dim, i, lot = map(int, key)
+        out = [pd.DataFrame({"vec_id": [], "n_links": [], "low": []}).astype("int64")]
+
+        def side(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            return np.frombuffer(r.ids, np.int64), np.frombuffer(r.weights, np.int64), np.frombuffer(r.units, np.float64).reshape(-1, dim // 8)
+
+        def near(block: tuple, centre: bytes, angle: float) -> list[np.ndarray]:
+            """Rows of a block; those out of reach of the other's part have no links there."""
+            s = block[2] @ np.frombuffer(centre, np.float64)[: dim // 8]
+            within = np.arccos(np.clip(s, -1, 1)) <= angle + widest
+            return [z[within] for z in block]
+
+        rows = list(group.itertuples())
+        own_block = next((side(r) for r in rows if r.own == i), None)
+        if own_block is None:  # a block that no row was dealt to
+            return out[0]
+        if lot == 0:
+            out += _links(*own_block, *own_block, threshold, True)
+        for r in rows:
+            if r.own != i:
+                out += _links(*near(own_block, r.cb, r.ub), *near(side(r), r.ca, r.ua), threshold, False)
         return pd.concat(out)
 
-    return both.groupBy("dim", "i", "j").applyInPandas(compare, "vec_id long, n_links long, low long")
+    return both.groupBy("dim", "i", "lot").applyInPandas(compare, "vec_id long, n_links long, low long")
 
 
 def near_duplicates(

@@ -40,10 +40,12 @@ def import_legacy(store: DataFrame, legacy: DataFrame, key: str = "row_key") ->
 
 
 def looked_up(df: DataFrame, store: DataFrame, payload: list[str]) -> DataFrame:
-    """Results by row key, else by the older key of place and docket."""
+    """Results by row key, else by the older key of place and docket; of several
+    results of one key the greatest, so that no record is multiplied."""
+    one = store.groupBy("row_key").agg(F.max(F.struct(*payload)).alias("_p")).select("row_key", *[F.col(f"_p.{c}").alias(c) for c in payload])
     old = F.concat_ws("|", F.col("pos").cast("string"), F.coalesce("docket_id", F.lit("None")))
-    first = store.select("row_key", *[F.col(c).alias(f"_a_{c}") for c in payload])
-    second = store.select(F.col("row_key").alias("_old"), *[F.col(c).alias(f"_b_{c}") for c in payload])
+    first = one.select("row_key", *[F.col(c).alias(f"_a_{c}") for c in payload])
+    second = one.select(F.col("row_key").alias("_old"), *[F.col(c).alias(f"_b_{c}") for c in payload])
     out = df.withColumn("_old", old).join(first, "row_key", "left").join(second, "_old", "left")
     return out.select(*df.columns, *[F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in payload])
 
@@ -58,7 +60,9 @@ def work_plan(df: DataFrame, store: DataFrame, media: DataFrame | None = None) -
     """(row_key, kind): forms and photos to read: a link or a local file is
     there, and the kind's earlier status is none or Error."""
     kinds = []
-    status = store.select("row_key", "done", "pdf_status", "photo_status")
+    # A key is one row: done if any says so, and read if any status is not Error.
+    best = lambda c: F.coalesce(F.max(F.when(F.col(c) != "Error", F.col(c))), F.max(c)).alias(c)
+    status = store.groupBy("row_key").agg(F.max("done").alias("done"), best("pdf_status"), best("photo_status"))
     joined = df.join(status, "row_key", "left")
     files = media.groupBy("docket_id").agg(F.max((F.col("kind") == "pdf").cast("int")).alias("_pdf"), F.max((F.col("kind") == "image").cast("int")).alias("_img")) if media is not None else None
     if files is not None:

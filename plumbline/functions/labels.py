@@ -33,7 +33,8 @@ def plain_digits(c: Column) -> Column:
 
 def _percentage(text: Column, pattern: str) -> Column:
     v = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ".").try_cast("double")
-    return F.when(v.between(0, 100), v)
+    # In an array the value is found once, not for each comparison.
+    return F.get(F.filter(F.array(v), lambda x: x.between(0, 100)), F.lit(0))
 
 
 def labelled_number(lines: Column, labels: list[str]) -> Column:
@@ -44,7 +45,9 @@ def labelled_number(lines: Column, labels: list[str]) -> Column:
     bare = lambda line, x: line.rlike(f"(?i){x}") & ~line.rlike(f"(?i){x}.*?\\d")
     below = lambda line, i: F.when(F.greatest(*[bare(line, x) for x in labels]), _percentage(F.get(lines, i + 1), _NUMBER))
     first = lambda found: F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
-    return F.coalesce(first(F.transform(lines, after)), first(F.transform(lines, below)))
+    # One pattern of all labels goes first: most lines bear none of them.
+    named = lambda line: line.rlike("(?i)" + "|".join(labels))
+    return F.coalesce(first(F.transform(F.filter(lines, named), after)), first(F.transform(lines, lambda line, i: F.when(named(line), below(line, i)))))
 
 
 def labelled_date(lines: Column) -> Column:

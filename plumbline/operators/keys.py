@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import functions as P
+from plumbline.operators.numbering import dealt
 from plumbline.operators.rules import spread_nulls
 
 IDENTIFYING = ["application_no", "farmer_name", "khasra_number", "division_number", "village", "latitude", "longitude", "pdf_url", "media_urls"]
@@ -29,7 +30,7 @@ def is_done(c: Column | str) -> Column:
 def upsert(store: DataFrame, new: DataFrame, key: str = "row_key", order: str = "seq") -> DataFrame:
     """The latest row of each key of both; what is done is never replaced by
     what is not."""
-    both = store.unionByName(new)
+    both = dealt(store.unionByName(new), key)
     latest = Window.partitionBy(key).orderBy(F.desc("done"), F.desc(order))
     return both.withColumn("_r", F.row_number().over(latest)).filter("_r = 1").drop("_r")
 

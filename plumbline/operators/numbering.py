@@ -24,6 +24,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a plan's estimated size (Parquet's, so packed) that one task takes.
+PART_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to as many tasks as its size asks for, and to no
+    fewer than a shuffle has, so that a task's rows do not grow with the input."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(max(least, -(-size // PART_BYTES)), 20_000), *keys)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name`` = 0, 1, 2 ... along ``order``, which must not tie."""
     ranged = settled(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline import functions as P
 from plumbline.operators import compare, keys, stats
+from plumbline.operators.numbering import dealt
 from plumbline.plans.catalogue import query, survey
 from plumbline.sources.survey import table
 
@@ -55,7 +56,8 @@ def j_lookup(spark, sf_dir):
 @query("k_upsert", "SELECT l_orderkey AS row_key, arg_max(l_linenumber, (CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 1000 + l_linenumber) AS seq, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AS done FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def k_upsert(spark, sf_dir):
     """The latest result of each key; done is never undone."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f")).select(F.col("l_orderkey").alias("row_key"), F.col("l_linenumber").alias("seq"), (F.col("f") == "R").alias("done"))
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), "l_orderkey")
+    rows = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f")).select(F.col("l_orderkey").alias("row_key"), F.col("l_linenumber").alias("seq"), (F.col("f") == "R").alias("done"))
     return keys.upsert(rows.filter("seq <= 3"), rows.filter("seq > 3"))
 
 

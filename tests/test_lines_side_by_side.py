@@ -27,3 +27,10 @@ def folder(tmp_path_factory):
 def test_clusters(spark, folder):
     got = __spark_entry__.queries()["g_clusters"](spark, folder).orderBy("pos").collect()
     assert [(r.cluster_size, r.group_id) for r in got] == [(2, "G-001")] * 2 + [(2, "G-002")] * 2
+
+
+def test_values(spark, folder):
+    got = __spark_entry__.queries()["g_same_values"](spark, folder).orderBy("pos").collect()
+    same = "all 2 surveys at this spot have the SAME app entry (2% area / 50% loss) - possible copied entry"
+    several = "the 2 surveys at this spot have different app entries (4%/50%; 6%/50%)"
+    assert [r.same_location_values for r in got] == [same] * 2 + [several] * 2
